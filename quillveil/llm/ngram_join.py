@@ -38,7 +38,7 @@ def shingle_sets(buf: np.ndarray, bounds: np.ndarray, size: int) -> list[np.ndar
     """Each text's distinct shingle hashes in rising order; A-Z lower-cased."""
     words, _, _, first = word_hashes(buf, bounds, lower=True)
     n, count = len(words), np.diff(first)
-    whole = np.full(n, np.uint64(size) * _C[0])
+    whole = np.full(n, mix64(np.array([size], np.uint64))[0])
     for k in range(min(size, n)):
         whole[: n - k] += mix64(words[k:] ^ np.uint64(0x1000 + k)) * _C[k % len(_C)]
     whole = mix64(whole)
@@ -53,6 +53,12 @@ def shingle_sets(buf: np.ndarray, bounds: np.ndarray, size: int) -> list[np.ndar
     return out
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """512 bits as 8 longs; bit b tells whether an odd number of shingles hash to b. Two sets differ in
+    at least as many shingles as their parities differ in bits."""
+    return np.packbits(np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1).view(np.int64)
+
+
 def index_keys(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     """Keys of one set (see above); ``frequent`` flags its shingles."""
     n = len(shingles)
@@ -148,22 +154,23 @@ def ngram_groups(docs: DataFrame, size: int = 5, percent: int = 80, log_bits: in
         rows = RowKeys()
         for b in batches:
             for i, j, buf, bounds in text_pieces(b.column(1)):
-                n, signs, keys, sets = [], [], [], []
+                n, signs, keys, sets, bits = [], [], [], [], []
                 for s, sign, k in keyed(buf, bounds):
                     hit = k[has(twice.value, k, log_bits)]
                     n.append(len(s))
                     signs.append(sign if len(hit) else None)
                     sets.append(s.tobytes() if len(hit) else None)
+                    bits.append(parity(s) if len(hit) else None)
                     keys.append(np.unique(hit[hit != k[-1]]).view(np.int64) if len(hit) else None)
-                yield pa.RecordBatch.from_arrays([pa.array(rows.take(j - i)), b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["key", "doc_id", "n", "sign", "keys", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows.take(j - i)), b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["key", "doc_id", "n", "sign", "keys", "shingles", "bits"])
 
-    judged = scratch(source.mapInArrow(suspect, "key long, doc_id long, n long, sign binary, keys array<long>, shingles binary"), "shingles")
+    judged = scratch(source.mapInArrow(suspect, "key long, doc_id long, n long, sign binary, keys array<long>, shingles binary, bits array<long>"), "shingles")
     suspects = judged.where("sign is not null")
-    classes = scratch(suspects.groupBy("sign").agg(F.min("key").alias("node")), "classes")
+    classes = scratch(suspects.groupBy("sign").agg(F.min("key").alias("node"), F.count("*").alias("copies")), "classes")
     sets = suspects.join(classes.select(F.col("node").alias("key")), "key", "left_semi").select("key", "shingles")
-    entries = suspects.select("key", "n", "keys").join(classes.select(F.col("node").alias("key")), "key", "left_semi").select(F.col("key").alias("node"), "n", F.explode("keys").alias("k"))
+    entries = suspects.select("key", "n", "keys").join(classes.select(F.col("node").alias("key"), "copies"), "key").select(F.col("key").alias("node"), "n", "copies", F.explode("keys").alias("k"))
     entries = scratch(entries, "entries")
-    lists = scratch(entries.groupBy("k").agg(F.count("*").alias("c"), F.min(F.struct("n", "node")).alias("lo"), F.max(F.struct("n", "node")).alias("hi")).where("c > 1"), "lists")
+    lists = scratch(entries.groupBy("k").agg(F.count("*").alias("c"), F.min(F.struct((-F.col("copies")).alias("c"), "n", "node")).alias("lo"), F.max(F.struct((-F.col("copies")).alias("c"), "n", "node")).alias("hi")).where("c > 1"), "lists")
     near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     members = scratch(entries.join(lists.where("c > 2").select("k", "lo"), "k"), "members")
     two = lists.where("c = 2").select(F.col("lo.node").alias("a"), F.col("lo.n").alias("na"), F.col("hi.node").alias("b"), F.col("hi.n").alias("nb"))
@@ -174,9 +181,11 @@ def ngram_groups(docs: DataFrame, size: int = 5, percent: int = 80, log_bits: in
     named = members.select("k", "node", "n").join(roots, "node", "left").select("k", "node", "n", F.coalesce("root", "node").alias("root"))
     named = scratch(named, "named")
     split = named.groupBy("k").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("k")
-    open_ = named.join(split, "k", "left_semi")
-    x, y = open_.toDF("k", "a", "na", "ra"), open_.toDF("k", "b", "nb", "rb")
-    cross = x.join(y, "k").where("a < b and ra <> rb").where(near).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    open_ = named.join(split, "k", "left_semi").join(suspects.select(F.col("key").alias("node"), "bits"), "node").select("k", "node", "n", "root", *[F.col("bits")[q].alias(f"p{q}") for q in range(8)])
+    x, y = (open_.toDF("k", c, f"n{c}", f"r{c}", *[f"{c}{q}" for q in range(8)]) for c in "ab")
+    apart = " + ".join(f"bit_count(a{q} ^ b{q})" for q in range(8))
+    close = f"{100 + percent} * ({apart}) <= {100 - percent} * (na + nb)"
+    cross = x.join(y, "k").where("a < b and ra <> rb").where(near).where(close).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     more = scratch(_verified(cross, sets, percent), "links")
     roots = scratch(components(links.union(more)), "roots")
 

@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import shared_dir, table
+from .common import id_bucket, shared_dir, table
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,18 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_groups
+
+    return ngram_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import lm_score
+
+    return lm_score(table(spark, sf_dir, "documents"), id_bucket("doc_id", 10) == 0)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -36,7 +48,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_line_dedup, op3_token_files, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_token_files, op7_ngram_groups, op9_lm_score, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

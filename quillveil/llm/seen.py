@@ -91,3 +91,32 @@ def seen_twice(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.nda
     for row in merged.collect():  # a fixed number of segments of fixed size
         out[row.seg * step : (row.seg + 1) * step] = unpacked(row.twice)
     return out
+
+
+def bit_table(df: DataFrame, positions_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log_bits: int) -> np.ndarray:
+    """The union of the bits that all batches of ``df`` name; 2**log_bits bits."""
+    size = (1 << log_bits) // 8
+    step = min(size, SEGMENT_BITS // 8)
+
+    def build(batches):
+        own = np.zeros(size, np.uint8)
+        for b in batches:
+            for at in positions_of(b):
+                put(own, at)
+        for k in range(0, size, step):
+            if own[k : k + step].any():
+                yield pa.RecordBatch.from_pydict({"seg": pa.array([k // step], pa.int32()), "bits": [packed(own[k : k + step])]})
+
+    def merge(batches):
+        own: dict[int, np.ndarray] = {}
+        for b in batches:
+            for seg, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own[seg] = own[seg] | unpacked(bits) if seg in own else unpacked(bits)
+        for seg, bits in own.items():
+            yield pa.RecordBatch.from_pydict({"seg": pa.array([seg], pa.int32()), "bits": [packed(bits)]})
+
+    out = np.zeros(size, np.uint8)
+    parts = df.mapInArrow(build, "seg int, bits binary")
+    for row in parts.repartition(max(1, min(size // step, 16)), "seg").mapInArrow(merge, "seg int, bits binary").collect():
+        out[row.seg * step : (row.seg + 1) * step] = unpacked(row.bits)
+    return out
