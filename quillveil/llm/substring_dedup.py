@@ -107,7 +107,6 @@ def substring_dedup(docs: DataFrame, window: int = 35, rounds: int = 5, log_bits
                     twice = np.concatenate([[0], np.cumsum(has(shared.value, sym, log_bits))])
                     lo, hi = np.where(alive, lo, 0), np.where(alive, hi, 0)
                     starts = starts[~alive | (twice[hi + 1] - twice[lo] == hi + 1 - lo)]
-                h1, h2 = _window_hashes(words, starts, window)
                 of = np.searchsorted(starts, first)
                 kept, texts_out = [], []
                 raw = buf.tobytes()
@@ -119,10 +118,22 @@ def substring_dedup(docs: DataFrame, window: int = 35, rounds: int = 5, log_bits
                         kept.append(b" ".join(raw[bounds[k] : bounds[k + 1]].split()).decode())
                         texts_out.append(None)
                 where = starts - first[np.searchsorted(first, starts, side="right") - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.take(j - i)), ids.slice(i, j - i), pa.array(counts.astype(np.int64)), pa.array(kept, pa.string()), pa.array(texts_out, pa.string()), lists(where.astype(np.int32), of), lists(h1, of), lists(h2, of)], names=["key", "doc_id", "n_words", "kept", "text", "at", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.take(j - i)), ids.slice(i, j - i), pa.array(counts.astype(np.int64)), pa.array(kept, pa.string()), pa.array(texts_out, pa.string()), lists(where.astype(np.int32), of)], names=["key", "doc_id", "n_words", "kept", "text", "at"])
 
-    judged = scratch(source.mapInArrow(suspects, "key long, doc_id long, n_words long, kept string, text string, at array<int>, h1 array<long>, h2 array<long>"), "windows")
-    windows = judged.where("text is not null").select("key", F.explode(F.arrays_zip("at", "h1", "h2")).alias("w")).select("key", "w.at", "w.h1", "w.h2")
+    judged = scratch(source.mapInArrow(suspects, "key long, doc_id long, n_words long, kept string, text string, at array<int>"), "windows")
+
+    def hashed(batches):
+        for b in batches:
+            at = b.column(2)
+            for i, j, buf, bounds in text_pieces(b.column(1)):
+                words, _, _, first = word_hashes(buf, bounds, lower=False)
+                own = at.slice(i, j - i)
+                n = np.diff(own.offsets.to_numpy())
+                where = own.flatten().to_numpy()
+                h1, h2 = _window_hashes(words, np.repeat(first[:-1], n) + where, window)
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(np.repeat(b.column(0).slice(i, j - i).to_numpy(), n)), pa.array(where)], names=["h1", "h2", "key", "at"])
+
+    windows = judged.where("text is not null").select("key", "text", "at").mapInArrow(hashed, "h1 long, h2 long, key long, at int")
     single = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("at").alias("at")).where("n = 1")
     cleared = single.groupBy("key").agg(F.collect_list("at").alias("cleared"))
 
