@@ -30,4 +30,18 @@ SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256
 FROM w LEFT JOIN a USING (doc_id)
 """
 
-ORACLES = {"op2_line_dedup": OP2, "op10_substring_dedup": OP10}
+OP1 = """
+WITH RECURSIVE u AS (
+  SELECT vec_id, list_transform(embedding, lambda c: c::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+r(id, seen) AS (SELECT a, b FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a),
+m AS (SELECT id, min(seen) AS low FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT x.vec_id, coalesce(n.n, 0) AS n_links, least(x.vec_id, coalesce(m.low, x.vec_id)) AS component_id,
+       least(x.vec_id, coalesce(m.low, x.vec_id)) = x.vec_id AS kept
+FROM embeddings x LEFT JOIN n ON n.a = x.vec_id LEFT JOIN m ON m.id = x.vec_id
+"""
+
+ORACLES = {"op1_embedding_groups": OP1, "op2_line_dedup": OP2, "op10_substring_dedup": OP10}

@@ -6,10 +6,17 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import id_bucket, shared_dir, table
 
 
+def op1_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cover_tree import embedding_groups
+
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
@@ -29,12 +36,39 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(table(spark, sf_dir, "documents"))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).drop("source", "copies")
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_rules import judge
+
+    return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    bucket = id_bucket("doc_id", 4)
+    found = identify(docs.select("doc_id", "text"), fit(docs, F.coalesce(bucket != 2, F.lit(False))))
+    return found.select("doc_id", F.coalesce(bucket == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_ngram_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_groups
 
     return ngram_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import lm_score
 
@@ -47,8 +81,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_line_dedup, op3_token_files, op7_ngram_groups, op9_lm_score, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_embedding_groups, op2_line_dedup, op3_token_files, op4_mix_sources, op5_url_rules, op6_language_id, op7_ngram_groups, op8_decontamination, op9_lm_score, op10_substring_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
