@@ -1,0 +1,21 @@
+"""What texts remain good for: classifiers on TF-IDF features."""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF, IDF, Normalizer
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def classify(train: DataFrame, test: DataFrame, tokens: Column, label: str, features: int = 1 << 14) -> DataFrame:
+    """Test rows with a prediction by multinomial logistic regression (L2 with weight 1 / rows)."""
+    prepared = lambda d: d.select("*", tokens.alias("_tokens")).withColumn("_label", F.col(label).cast("double"))
+    tf = HashingTF(numFeatures=features, inputCol="_tokens", outputCol="_tf")
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf.transform(prepared(train)))
+    norm = Normalizer(inputCol="_idf", outputCol="_x")
+    ready = lambda d: norm.transform(idf.transform(tf.transform(prepared(d))))
+    x = ready(train).select("_x", "_label").persist()
+    model = LogisticRegression(featuresCol="_x", labelCol="_label", family="multinomial", regParam=1 / max(1, x.count()), standardization=False, maxIter=50).fit(x)
+    x.unpersist()
+    return model.transform(ready(test)).drop("_tokens", "_tf", "_idf", "_x", "rawPrediction", "probability")
