@@ -11,6 +11,7 @@ values at once.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable
 
@@ -22,46 +23,89 @@ from pyspark.sql import functions as F
 from .common import scratch
 
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
-_CACHE = 400_000
+#: Pieces that a worker remembers, and the longest of them: some 300 MB at most.
+_CACHE, _LONGEST = 1_500_000, 64
+_cache: dict[str, dict[str, bytes]] = {}
+_ODD = re.compile(r" \s")
 BLOCK = "shard int, block int, first long, ids array<long>, sizes array<int>, control binary, data binary"
 
 
 def units(text: str) -> list[str]:
-    """Pieces that byte-level BPE encodes alike alone and in the text: a piece starts at the last
-    space before a character that is no space."""
+    """Pieces that byte-level BPE encodes alike alone and in the text: a piece starts at a space
+    before a character that is no white space."""
     parts = text.split(" ")
-    if "" not in parts:
+    if text[0] != " " and text[-1] != " " and not _ODD.search(text):
         return [parts[0], *[" " + p for p in parts[1:]]]
     out = [parts[0]]
     for p in parts[1:]:
-        if p:
+        if p and not p[0].isspace():
             out.append(" " + p)
         else:
-            out[-1] += " "
+            out[-1] += " " + p
     return [u for u in out if u]
 
 
-def encode(batches, tokenizer_path: str, end_id: int):
-    """(doc_id, text) to (doc_id, little-endian unsigned 32-bit ids); each distinct piece is encoded
-    once while it stays in a bounded cache."""
+def encode(batches, tokenizer_path: str, end_id: int, kind: str):
+    """(doc_id, text) to (doc_id, ids as ``kind``, little end first); each distinct piece is encoded
+    once while it stays in the worker's bounded cache."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path)
     tok.encode_special_tokens = True
-    end, cache = np.uint32(end_id).tobytes(), {}
+    spell = {c: b for b, c in _byte_letters().items()}
+    width = np.zeros(tok.get_vocab_size(), np.int64)
+    for token, i in tok.get_vocab().items():
+        width[i] = len(token) if all(c in spell for c in token) else 0
+    cache = _cache.setdefault(f"{tokenizer_path} {kind}", {})
+    end = np.array([end_id], kind).tobytes()
+
+    def fill(own: dict[str, bytes], missing: list[str]) -> None:
+        """Pieces that start with a space encode alike in a row, with less overhead than alone."""
+        rows, alone = [], []
+        for u in missing:
+            (rows if u[0] == " " and not u.isspace() else alone).append(u)
+        own.update((u, np.array(e.ids, kind).tobytes()) for u, e in zip(alone, tok.encode_batch_fast(alone, add_special_tokens=False), strict=True))
+        for k in range(0, len(rows), 2048):
+            some = rows[k : k + 2048]
+            ids = np.array(tok.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, kind)
+            ends = (np.searchsorted(np.cumsum(width[ids]), np.cumsum([len(u.encode()) for u in some])) + 1) * ids.itemsize
+            raw, ends = ids.tobytes(), ends.tolist()
+            own.update(zip(some, [raw[s:e] for s, e in zip([0, *ends], ends, strict=False)], strict=True))
+
+    def learn(missing: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces. Letters with punctuation or a line feed after them come apart, so that the
+        letters are encoded once."""
+        out, whole, split = {}, [], []
+        for u in missing:
+            body = u.rstrip(",.;:!?")
+            cut = len(body) if body != u and body[-1:].isalpha() else 0
+            (split if cut else whole).append((u, cut) if cut else u)
+        parts = {u[:cut] for u, cut in split} | {u[cut:] for u, cut in split} | set(whole)
+        own = {u: c for u in parts if (c := cache.get(u)) is not None}
+        fill(own, [u for u in parts if u not in own])
+        cache.update((u, c) for u, c in own.items() if len(u) <= _LONGEST)
+        out.update((u, own[u]) for u in whole)
+        out.update((u, own[u[:cut]] + own[u[cut:]]) for u, cut in split)
+        cache.update((u, c) for u, c in out.items() if len(u) <= _LONGEST)
+        return out
+
     for b in batches:
-        ids, blobs = b.column(0), []
-        for start in range(0, b.num_rows, 256):
-            docs = [units(t or "") for t in b.column(1).slice(start, 256).to_pylist()]
-            missing = list({u for d in docs for u in d if u not in cache})
-            if len(cache) + len(missing) > _CACHE:
-                cache = {}
-                missing = list({u for d in docs for u in d})
-            for k in range(0, len(missing), 4096):
-                some = missing[k : k + 4096]
-                cache.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False), strict=True))
-            blobs += [b"".join([*map(cache.__getitem__, d), end]) for d in docs]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(blobs, pa.binary())], names=["doc_id", "tokens"])
+        for start in range(0, b.num_rows, 128):
+            docs = [units(t) if t else [] for t in b.column(1).slice(start, 128).to_pylist()]
+            if len(cache) > _CACHE:
+                cache.clear()
+            got = [[*map(cache.get, d)] for d in docs]
+            new = learn(list({u for d, g in zip(docs, got, strict=True) if None in g for u, x in zip(d, g, strict=True) if x is None}))
+            blobs = [b"".join([new[u] if x is None else x for u, x in zip(d, g, strict=True)] + [end] if None in g else [*g, end]) for d, g in zip(docs, got, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(start, 128), pa.array(blobs, pa.binary())], names=["doc_id", "tokens"])
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself,
+    the others in order from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in own]
+    return {x: chr(x) for x in own} | {x: chr(256 + k) for k, x in enumerate(rest)}
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -94,15 +138,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     tokens; a null id comes first. Other columns are not read. A block closes once it has
     ``block_ids`` ids; a document is never split.
     """
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    coded = scratch(source.mapInArrow(lambda it: encode(it, tokenizer_path, end_id), "doc_id long, tokens binary"), "tokens")
+    kind = "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    coded = scratch(source.mapInArrow(lambda it: encode(it, tokenizer_path, end_id, kind), "doc_id long, tokens binary"), "tokens")
 
     def count(batches):
         total: np.ndarray = np.zeros(1 << 16, np.int64)
         for b in batches:
             for blob in b.column(0):
-                own = np.bincount(np.frombuffer(blob.as_buffer(), "<u4"))
+                own = np.bincount(np.frombuffer(blob.as_buffer(), kind))
                 if len(own) > len(total):
                     total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
                 total[: len(own)] += own
@@ -137,7 +184,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
         for b in batches:
             for doc_id, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                parts.append(rank_of.value[np.frombuffer(blob.as_buffer(), "<u4")])
+                parts.append(rank_of.value[np.frombuffer(blob.as_buffer(), kind)])
                 ids.append(doc_id)
                 held += len(parts[-1])
                 if held >= block_ids:
