@@ -22,28 +22,28 @@ from quillveil.llm.queries import token_rows
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the rows whose language is rejected: no letter, or a narrow margin."""
-    found = identify(docs, fit(docs, F.coalesce(id_bucket("doc_id", 4) != 2, F.lit(False))), min_margin=0.0)
+    found = identify(docs, fit(docs, F.coalesce(id_bucket("doc_id", 4) != 2, F.lit(False))), min_margin=0.001)
     return found.where(~F.col("rejected")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of five-word shingle sets with a similarity of 0.8 or more."""
-    kept = ngram_groups(docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = ngram_groups(docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark passage."""
-    hit = overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    hit = overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit_id")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit_id")), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out rows as the mix takes them."""
     same = Window.partitionBy("doc_id", "source").orderBy(F.length("text"), "text")
-    picked = mix(docs).select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), "copies", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("size", "copies")).alias("mix_nth"))
-    both = docs.withColumn("nth", F.row_number().over(same)).join(picked, F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("nth") == F.col("mix_nth")))
-    return both.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    picked = mix(docs).select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("copies").alias("_copies"), F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("size", "copies")).alias("_mix_nth"))
+    both = docs.withColumn("_nth", F.row_number().over(same)).join(picked, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_nth") == F.col("_mix_nth")))
+    return both.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -225,6 +225,8 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, sample: int =
     def place(batches):
         keys = RowKeys()
         for b in batches:
+            if not b.num_rows:
+                continue
             x = unit_rows(matrix(b.column(0), width))
             cos = x @ shared.value.T
             cell = cos.argmax(axis=1)

@@ -29,7 +29,7 @@ def fit(docs: DataFrame, learn: Column, sample_docs: int = 300, sample_chars: in
     parts: dict[str, list[bytes]] = {}
     for r in ranked.where(F.col("n") <= sample_docs).orderBy("lang", "n").collect():
         parts.setdefault(r.lang, []).append(r.piece.lower().encode())
-    return {k: b"\n".join(v) for k, v in parts.items()}
+    return {k: b"\n".join(v) + b"\n" for k, v in parts.items()}
 
 
 class Classifier:

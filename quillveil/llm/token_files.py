@@ -162,7 +162,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     ranks.write.parquet(f"{path}/ranks")
     known = spark.read.parquet(f"{path}/ranks").toPandas()
     rank = np.zeros(int(known["id"].max() if len(known) else 0) + 1, np.uint32)
-    rank[known["id"].to_numpy()] = known["rank"].to_numpy()
+    rank[known["id"].to_numpy(np.int64)] = known["rank"].to_numpy(np.uint32)
     rank_of = spark.sparkContext.broadcast(rank)
 
     def blocks(batches):
@@ -205,7 +205,7 @@ def read_token_files(spark: SparkSession, path: str, digest: Callable[[np.ndarra
     arrow = pa.schema([(c, pa.int64()) for c in ("shard", "doc_id", "first", "n_tokens", name)])
     known = spark.read.parquet(f"{path}/ranks").toPandas()
     id_at = np.zeros(len(known), np.uint32)
-    id_at[known["rank"].to_numpy()] = known["id"].to_numpy()
+    id_at[known["rank"].to_numpy(np.int64)] = known["id"].to_numpy(np.uint32)
     ids_of = spark.sparkContext.broadcast(id_at)
     blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
     totals = blocks.groupBy("shard").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
