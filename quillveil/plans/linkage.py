@@ -160,15 +160,23 @@ def combos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STEP = "round((-ln((c_{f} + 0.5) / (total + 0.5 * v_{f})) + {p} + 1) / {d}, 9)"
-_PLAN = ("""WITH b AS (SELECT c_nationkey AS nation, n_regionkey AS nation_coarse, c_mktsegment AS segment, CASE WHEN c_mktsegment < 'G' THEN 'first' ELSE 'second' END AS segment_coarse, floor(c_acctbal / 2000)::INT AS band
+
+
+def _plan_sql(levels: tuple[int, ...]) -> str:
+    score = lambda f, p, c, lv: f"SELECT combo, '{f}' AS field, {lv} AS level, {_STEP.format(f=f, p=p, d=max(c * (1 + 0.8 * (lv - 1)), 0.1))} AS score FROM h"
+    coarse = lambda f: f"WHEN a.{f}_coarse = q.{f}_coarse THEN w.{f}_1 " if 1 in levels else ""
+    return f"""WITH b AS (SELECT c_nationkey AS nation, n_regionkey AS nation_coarse, c_mktsegment AS segment, CASE WHEN c_mktsegment < 'G' THEN 'first' ELSE 'second' END AS segment_coarse, floor(c_acctbal / 2000)::INT AS band
   FROM customer JOIN nation ON c_nationkey = n_nationkey),
 g AS (SELECT *, band >= 2 AS band_coarse, nation || '|' || segment || '|' || band AS combo, count(*) AS n FROM b GROUP BY ALL),
-h AS (SELECT *, sum(n) OVER () AS total, """ + ", ".join(f"sum(n) OVER (PARTITION BY {f}) AS c_{f}, (SELECT count(DISTINCT {f}) FROM b) AS v_{f}" for f in _FIELDS) + """ FROM g),
-s AS (SELECT combo, field, level, row_number() OVER (PARTITION BY combo ORDER BY score DESC, field DESC, level) AS step FROM (""" + " UNION ALL ".join(f"SELECT combo, '{f}' AS field, {lv} AS level, {_STEP.format(f=f, p=p, d=max(c * (1 + 0.8 * (lv - 1)), 0.1))} AS score FROM h" for f, (p, c) in _FIELDS.items() for lv in (1, 2)) + """)),
-w AS (SELECT combo, """ + ", ".join(f"max(step) FILTER (WHERE field = '{f}' AND level = {lv}) AS {f}_{lv}" for f in _FIELDS for lv in (1, 2)) + """ FROM s GROUP BY combo),
-d AS (SELECT a.combo, q.n, greatest(""" + ", ".join(f"CASE WHEN a.{f} = q.{f} THEN 0 WHEN a.{f}_coarse = q.{f}_coarse THEN w.{f}_1 ELSE w.{f}_2 END" for f in _FIELDS) + """) AS need FROM g a JOIN w ON w.combo = a.combo, g q),
+h AS (SELECT *, sum(n) OVER () AS total, {", ".join(f"sum(n) OVER (PARTITION BY {f}) AS c_{f}, (SELECT count(DISTINCT {f}) FROM b) AS v_{f}" for f in _FIELDS)} FROM g),
+s AS (SELECT combo, field, level, row_number() OVER (PARTITION BY combo ORDER BY score DESC, field DESC, level) AS step FROM ({" UNION ALL ".join(score(f, p, c, lv) for f, (p, c) in _FIELDS.items() for lv in levels)})),
+w AS (SELECT combo, {", ".join(f"max(step) FILTER (WHERE field = '{f}' AND level = {lv}) AS {f}_{lv}" for f in _FIELDS for lv in levels)} FROM s GROUP BY combo),
+d AS (SELECT a.combo, q.n, greatest({", ".join(f"CASE WHEN a.{f} = q.{f} THEN 0 {coarse(f)}ELSE w.{f}_2 END" for f in _FIELDS)}) AS need FROM g a JOIN w ON w.combo = a.combo, g q),
 k AS (SELECT combo, need, (sum(sum(n)) OVER (PARTITION BY combo ORDER BY need))::BIGINT AS k FROM d GROUP BY combo, need),
-t AS (SELECT combo, coalesce(min(need) FILTER (WHERE k >= 20), 6) AS n_steps, coalesce(min(k) FILTER (WHERE k >= 20), max(k)) AS estimated_k FROM k GROUP BY combo)""")
+t AS (SELECT combo, coalesce(min(need) FILTER (WHERE k >= 20), {len(levels) * len(_FIELDS)}) AS n_steps, coalesce(min(k) FILTER (WHERE k >= 20), max(k)) AS estimated_k FROM k GROUP BY combo)"""
+
+
+_PLAN = _plan_sql((1, 2))
 
 
 @query(_PLAN + """ SELECT t.combo, estimated_k, n_steps, """ + ", ".join(f"coalesce(max(level) FILTER (WHERE field = '{f}' AND step <= n_steps), 0) AS level_{f}" for f in _FIELDS) + " FROM t JOIN s USING (combo) GROUP BY t.combo, estimated_k, n_steps")
@@ -184,6 +192,25 @@ def k_plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stop.agg(F.min("estimated_k").alias("min_k"), F.median("estimated_k").alias("median_k"), F.round(F.avg((F.col("estimated_k") >= 20).cast("int")), 6).alias("coverage"), F.round(F.avg("n_steps"), 6).alias("mean_steps"), F.max("n_steps").alias("max_steps"))
 
 
+@query(_plan_sql((2,)) + " SELECT combo, estimated_k, n_steps FROM t")
+def k_plan_suppression_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field is kept or suppressed, never generalized."""
+    return K.plan(combos(spark, sf_dir), _FIELDS, 20, levels=(2,))[0]
+
+
+@query()
+def k_plan_shuffled_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans from a population whose fields were dealt anew: planning k against the true k."""
+    real = combos(spark, sf_dir)
+    fields = list(_FIELDS)
+    rows = real.select("combo", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"), *[x for f in fields for x in (f, f"{f}_coarse")]).withColumn("id", F.concat_ws("#", "combo", "i"))
+    dealt = K.shuffled(rows, fields, "id", 7)
+    people = dealt.drop("id").groupBy(*[x for f in fields for x in (f, f"{f}_coarse")]).agg(F.count("*").alias("n"))
+    stop, levels = K.plan(real, _FIELDS, 20, population=people)
+    both = stop.join(K.true_k(real, levels, fields), "combo")
+    return both.agg(F.min("estimated_k").alias("min_planning_k"), F.min("k").alias("min_true_k"), F.median("k").alias("median_true_k"), F.round(F.avg((F.col("k") >= 20).cast("int")), 6).alias("true_coverage"))
+
+
 _DECOY = """WITH s AS (SELECT s_suppkey AS id, s_nationkey AS nation, n_regionkey AS region, floor(s_acctbal / 2000)::INT AS band FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 p AS (SELECT a.id, b.id AS cand, (a.nation = b.nation)::INT + (a.band = b.band)::INT + 1.5 AS overlap, ('0x' || substring(sha256('{seed}:' || a.id || ':' || b.id), 1, 12))::BIGINT / 281474976710656.0 AS tie
       FROM s a JOIN s b ON a.region = b.region AND a.id <> b.id),

@@ -58,6 +58,21 @@ def test_planner_equals_greedy_loop(spark):
             assert got[c] == list(greedy(rows, dict(zip("xyz", values, strict=True)), fields, k))
 
 
+def test_plans_from_another_population(spark):
+    rows = [(k, k % 7, k % 7 // 3, k % 5, k % 5 // 3) for k in range(50)]
+    df = spark.createDataFrame(rows, "id long, x int, x_coarse int, y int, y_coarse int")
+    dealt = K.shuffled(df, ["x", "y"], "id", 3)
+    for f in "xy":
+        assert Counter(r[f] for r in dealt.collect()) == Counter(r[f] for r in df.collect())
+    group = lambda d: d.groupBy("x", "x_coarse", "y", "y_coarse").agg(F.count("*").alias("n")).withColumn("combo", F.concat_ws("|", "x", "y"))
+    fields = {"x": (1.0, 0.5), "y": (1.0, 0.7)}
+    stop, levels = K.plan(group(df), fields, 4)
+    true = {r.combo: r.k for r in K.true_k(group(df), levels, ["x", "y"]).collect()}
+    assert true == {r.combo: r.estimated_k for r in stop.collect()}
+    stop, levels = K.plan(group(df), fields, 4, levels=(2,), population=group(dealt))
+    assert {r.level for r in levels.collect()} <= {0, 2} and stop.count() == group(df).count()
+
+
 def test_threshold(spark):
     pairs = spark.createDataFrame([(0.1, 0), (0.4, 0), (0.6, 1), (0.8, 1), (0.9, 1)], "score double, label int")
     best = L.best_threshold(pairs).first()
