@@ -173,7 +173,7 @@ s AS (SELECT combo, field, level, row_number() OVER (PARTITION BY combo ORDER BY
 w AS (SELECT combo, {", ".join(f"max(step) FILTER (WHERE field = '{f}' AND level = {lv}) AS {f}_{lv}" for f in _FIELDS for lv in levels)} FROM s GROUP BY combo),
 d AS (SELECT a.combo, q.n, greatest({", ".join(f"CASE WHEN a.{f} = q.{f} THEN 0 {coarse(f)}ELSE w.{f}_2 END" for f in _FIELDS)}) AS need FROM g a JOIN w ON w.combo = a.combo, g q),
 k AS (SELECT combo, need, (sum(sum(n)) OVER (PARTITION BY combo ORDER BY need))::BIGINT AS k FROM d GROUP BY combo, need),
-t AS (SELECT combo, coalesce(min(need) FILTER (WHERE k >= 20), {len(levels) * len(_FIELDS)}) AS n_steps, coalesce(min(k) FILTER (WHERE k >= 20), max(k)) AS estimated_k FROM k GROUP BY combo)"""
+t AS (SELECT combo, coalesce(min(need) FILTER (WHERE k >= 20), {len(levels) * len(_FIELDS)})::INT AS n_steps, coalesce(min(k) FILTER (WHERE k >= 20), max(k)) AS estimated_k FROM k GROUP BY combo)"""
 
 
 _PLAN = _plan_sql((1, 2))
@@ -225,7 +225,7 @@ def decoys(spark: SparkSession, sf_dir: str, seed: str) -> DataFrame:
     return p.select("id", "cand", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(score), "cand")).alias("rank"))
 
 
-@query(_DECOY.format(seed="7") + " SELECT id, cand, rank FROM r WHERE rank <= 9 UNION ALL SELECT id, id, 0 FROM s")
+@query(_DECOY.format(seed="7") + " SELECT id, cand, rank::INT AS rank FROM r WHERE rank <= 9 UNION ALL SELECT id, id, 0 FROM s")
 def decoy_candidates_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decoys(spark, sf_dir, "7")
     return d.where("rank <= 9").union(read(spark, sf_dir, "supplier").select("s_suppkey", "s_suppkey", F.lit(0)))
@@ -251,7 +251,7 @@ c AS (SELECT t.c_custkey, n.n_nationkey AS cand, t.c_nationkey,
         2.0 * (CASE WHEN regexp_matches(lower(text), '(^|[^\\w])' || lower(n_name) || '($|[^\\w])') THEN 2.0 WHEN regexp_matches(lower(text), '(^|[^\\w])' || lower(r_name) || '($|[^\\w])') THEN 0.7 ELSE 0 END)
         + 1.0 * (CASE WHEN regexp_matches(lower(text), '(^|[^\\w])' || lower(c_mktsegment) || '($|[^\\w])') THEN 2.0 ELSE 0 END) AS score
       FROM t, nation n JOIN region r ON n.n_regionkey = r.r_regionkey)
-SELECT c_custkey, rank, score_true FROM (SELECT c_custkey, cand, c_nationkey, round(score, 6) AS score_true, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, cand) AS rank FROM c) WHERE cand = c_nationkey""".replace("\\\\", "\\")
+SELECT c_custkey, rank::INT AS rank, score_true FROM (SELECT c_custkey, cand, c_nationkey, round(score, 6) AS score_true, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, cand) AS rank FROM c) WHERE cand = c_nationkey""".replace("\\\\", "\\")
 
 
 @query(_FIELD)

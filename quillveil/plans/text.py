@@ -26,7 +26,7 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct FROM (SELECT doc_id, {_TOK.format('text')} AS w FROM documents)")
+@query(f"SELECT doc_id, len(w)::INT AS n_tokens, len(list_distinct(w))::INT AS n_distinct FROM (SELECT doc_id, {_TOK.format('text')} AS w FROM documents)")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = X.tokens(F.col("text"), X.PORTABLE)
     return read(spark, sf_dir, "documents").select("doc_id", w.alias("w")).select("doc_id", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_distinct"))
@@ -82,13 +82,13 @@ def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_TFIDF + """
-SELECT doc_id, term, round(w, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS rank FROM w) WHERE rank <= 5""")
+SELECT doc_id, term, round(w, 6) AS weight, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS rank FROM w) WHERE rank <= 5""")
 def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _ = _weights(spark, sf_dir)
     return I.ranked(docs, ["doc_id"], [F.desc(F.round("w", 9)), F.asc("term")]).where("rank <= 5").select("doc_id", "term", F.round("w", 6).alias("weight"), "rank")
 
 
-@query(_TFIDF + " SELECT item_id, doc_id, round(score, 6) AS score, rank FROM k WHERE rank <= 5")
+@query(_TFIDF + " SELECT item_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM k WHERE rank <= 5")
 def tfidf_topk_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranks(spark, sf_dir).where("rank <= 5").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
@@ -123,7 +123,7 @@ w AS (SELECT q, slot, term, w / sqrt(sum(w * w) OVER (PARTITION BY q, slot)) AS
 s AS (SELECT a.q, b.slot, sum(a.w * b.w) AS score FROM w a JOIN w b ON a.q = b.q AND a.term = b.term AND a.slot = -1 AND b.slot >= 0 GROUP BY 1, 2),
 k AS (SELECT g.q, g.cand, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY g.q ORDER BY round(coalesce(score, 0), 9) DESC, g.cand DESC) AS rank
       FROM g LEFT JOIN s ON s.q = g.q AND s.slot = g.slot WHERE g.slot >= 0)
-SELECT q AS conv_id, rank, (rank = 1)::INT AS top1, (rank <= 3)::INT AS top3, round(score, 6) AS score_true FROM k WHERE cand = q""")
+SELECT q AS conv_id, rank::INT AS rank, (rank = 1)::INT AS top1, (rank <= 3)::INT AS top3, round(score, 6) AS score_true FROM k WHERE cand = q""")
 def per_group_aux_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Match the later turns of a conversation against the first turns of ten candidates."""
     turns = read(spark, sf_dir, "conversations")
@@ -188,7 +188,7 @@ def blended_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EMAIL_SQL, _PHONE_SQL = X.EMAIL, X.PHONE
 
 
-@query(rf"""SELECT doc_id, len(regexp_extract_all(text, '{X.EMAIL}')) AS n_email, len(regexp_extract_all(text, '{X.PHONE}')) AS n_phone, len(regexp_extract_all(text, '{X.ACCOUNT}')) AS n_account,
+@query(rf"""SELECT doc_id, len(regexp_extract_all(text, '{X.EMAIL}'))::INT AS n_email, len(regexp_extract_all(text, '{X.PHONE}'))::INT AS n_phone, len(regexp_extract_all(text, '{X.ACCOUNT}'))::INT AS n_account,
   md5(regexp_replace(regexp_replace(regexp_replace(text, '{X.EMAIL}', '[EMAIL]', 'g'), '{X.PHONE}', '[PHONE]', 'g'), '{X.ACCOUNT}', '[ACCOUNT]', 'g')) AS redacted_md5 FROM documents""")
 def pii_redact_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda p: F.regexp_count("text", F.lit(p))
