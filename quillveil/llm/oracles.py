@@ -44,4 +44,19 @@ SELECT x.vec_id, coalesce(n.n, 0) AS n_links, least(x.vec_id, coalesce(m.low, x.
 FROM embeddings x LEFT JOIN n ON n.a = x.vec_id LEFT JOIN m ON m.id = x.vec_id
 """
 
-ORACLES = {"op1_embedding_groups": OP1, "op2_line_dedup": OP2, "op10_substring_dedup": OP10}
+OP7 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' '))
+                                               WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, seen) AS (SELECT a, b FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a),
+m AS (SELECT id, min(seen) AS low FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id,
+       least(d.doc_id, coalesce(m.low, d.doc_id)) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.id = d.doc_id
+"""
+
+ORACLES = {"op7_ngram_groups": OP7, "op1_embedding_groups": OP1, "op2_line_dedup": OP2, "op10_substring_dedup": OP10}
