@@ -256,3 +256,59 @@ def edit_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of each turn to its redacted form; matching blocks, which SQL can't express."""
     turns = read(spark, sf_dir, "conversations").withColumn("redacted", X.replace_ordered(F.col("text"), F.array(F.struct(F.lit("tion").alias("src"), F.lit("[X]").alias("dst")))))
     return R.edit_rows(turns, ["conv_id", "turn"], "text", "redacted")
+
+
+_CONDITIONS = {"original": ("", ""), "tion_masked": ("tion", "[X]"), "th_masked": ("th", "[T]")}
+
+
+def _replaced(condition: str) -> str:
+    old, new = _CONDITIONS[condition]
+    return f"replace(text, '{old}', '{new}')" if old else "text"
+
+
+@query(f"""
+WITH c AS ({" UNION ALL ".join(f"SELECT '{k}' AS condition, doc_id, {_replaced(k)} AS text FROM documents" for k in _CONDITIONS)}),
+tc AS (SELECT condition, doc_id, term, count(*) AS tf FROM (SELECT condition, doc_id, unnest({_TOK.format('text')}) AS term FROM c) GROUP BY 1, 2, 3),
+m AS (SELECT condition, term, ln((1 + n) / (1.0 + df)) + 1 AS idf FROM (SELECT condition, term, count(*) AS df FROM tc GROUP BY 1, 2), (SELECT count(*) AS n FROM documents) WHERE df <= 0.65 * n),
+r AS (SELECT condition, doc_id, term, (1 + ln(tf)) * idf AS w FROM tc JOIN m USING (condition, term)),
+w AS (SELECT condition, doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY condition, doc_id)) AS w FROM r),
+qc AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_TOK.format('text')}) AS term FROM benchmark) GROUP BY 1, 2),
+qr AS (SELECT condition, item_id, term, (1 + ln(tf)) * idf AS w FROM qc JOIN m USING (term)),
+q AS (SELECT condition, item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY condition, item_id)) AS w FROM qr),
+s AS (SELECT condition, item_id, doc_id, sum(q.w * w.w) AS score FROM q JOIN w USING (condition, term) GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY condition, item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s),
+t AS (SELECT condition, item_id, min(rank) AS first_rank FROM k JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) WHERE contains(d.text, b.text) GROUP BY 1, 2)
+SELECT condition, count(*) AS n_queries, round(avg((first_rank <= 1)::INT), 6) AS hit_at_1, round(avg((first_rank <= 5)::INT), 6) AS hit_at_5, round(avg(1.0 / first_rank), 6) AS mrr FROM t GROUP BY condition""")
+def exposure_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each passage still finds the documents that held it, by rewriting condition."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    options = F.array(*[F.struct(F.lit(k).alias("condition"), (F.replace("text", F.lit(old), F.lit(new)) if old else F.col("text")).alias("text")) for k, (old, new) in _CONDITIONS.items()])
+    every = docs.select("doc_id", F.explode(options).alias("o")).select("doc_id", "o.condition", "o.text")
+    terms = X.tokens(F.col("text"), X.PORTABLE)
+    counts = I.term_counts(every, ["condition", "doc_id"], terms)
+    model = I.fit(counts, every.groupBy("condition").agg(F.count("*").alias("n")), ["condition"], max_df=0.65)
+    items = read(spark, sf_dir, "benchmark")
+    asked = I.term_counts(items, ["item_id"], terms).crossJoin(F.broadcast(every.select("condition").distinct()))
+    scored = I.scores(I.weigh(asked, model, ["condition"], ["condition", "item_id"]), I.weigh(counts, model, ["condition"], ["condition", "doc_id"]), ["condition"], ["item_id"], ["doc_id"])
+    ranks = I.ranked(scored, ["condition", "item_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")])
+    relevant = docs.join(items.select("item_id", F.col("text").alias("passage")), F.contains("text", "passage")).select("item_id", "doc_id")
+    first = ranks.join(relevant, ["item_id", "doc_id"]).groupBy("condition", "item_id").agg(F.min("rank").alias("first_rank"))
+    within = lambda k: F.round(F.avg((F.col("first_rank") <= k).cast("int")), 6)
+    return first.groupBy("condition").agg(F.count("*").alias("n_queries"), within(1).alias("hit_at_1"), within(5).alias("hit_at_5"), F.round(F.avg(1 / F.col("first_rank")), 6).alias("mrr"))
+
+
+@query(f"""
+WITH c AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) FILTER (WHERE turn > 0) AS body, row_number() OVER (ORDER BY conv_id) - 1 AS pos FROM conversations GROUP BY conv_id),
+p AS (SELECT a.conv_id AS q, b.conv_id AS cand, {_TOK.format("coalesce(a.body, '')")} AS x, {_TOK.format("coalesce(b.body, '')")} AS y FROM c a JOIN c b ON b.pos = a.pos + 1)
+SELECT q, cand, len(list_intersect(list_distinct(x), list_distinct(y)))::INT AS shared, round(coalesce(len(list_intersect(list_distinct(x), list_distinct(y))) / nullif(len(list_distinct(list_concat(x, y))), 0), 0), 6) AS jaccard FROM p""")
+def shared_tokens_with_rival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that an entity's texts share with the next entity's: what a rival match rests on."""
+    from pyspark.sql import Window
+
+    turns = read(spark, sf_dir, "conversations").where("turn > 0")
+    convs = read(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("pos", F.row_number().over(Window.orderBy("conv_id")))
+    words = turns.select("conv_id", F.explode(X.tokens(F.col("text"), X.PORTABLE)).alias("w")).groupBy("conv_id").agg(F.collect_set("w").alias("ws"))
+    full = convs.join(words, "conv_id", "left").withColumn("ws", F.coalesce("ws", F.array().cast("array<string>")))
+    a, b = full.select(F.col("conv_id").alias("q"), (F.col("pos") + 1).alias("pos"), F.col("ws").alias("x")), full.select(F.col("conv_id").alias("cand"), "pos", F.col("ws").alias("y"))
+    shared, union = F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))
+    return a.join(b, "pos").select("q", "cand", shared.alias("shared"), F.round(F.coalesce(F.try_divide(shared, union), F.lit(0.0)), 6).alias("jaccard"))
