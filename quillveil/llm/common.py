@@ -82,3 +82,14 @@ def batch(names: list[str], arrays: list) -> pa.RecordBatch:
 def lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
     """Arrow lists from flat values and their offsets."""
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+
+#: What a Python worker keeps for one operator from task to task.
+_kept: dict[str, dict] = {}
+
+
+def kept_by_worker(name: str) -> dict:
+    """A dictionary that lives as long as the worker works for ``name``; those of other names go."""
+    for other in [k for k in _kept if k != name]:
+        del _kept[other]
+    return _kept.setdefault(name, {})

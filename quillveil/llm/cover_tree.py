@@ -12,15 +12,18 @@ and one edge to a linked point per point, never the links themselves.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RowKeys, scratch
+from .common import RowKeys, kept_by_worker, scratch
 from .components import components
 
 _EPS = 1e-9
+_KEPT = 32
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -43,12 +46,12 @@ class Tree:
     """Levels of a cover tree: each has centre rows, covering radii, and the points in node order."""
 
     def __init__(self, x: np.ndarray, least: float):
-        self.x, self.levels, self.parents = x, [], []
-        apart = np.sqrt(np.maximum(0, 2 - 2 * x @ x.T))
+        self.x, self.short, self.levels, self.parents = x, x.astype(np.float32), [], []
+        near = self.short @ self.short.T  # only shapes the nets; covering radii are taken in doubles
         node, centres, radius = np.zeros(len(x), np.int64), np.array([0]), 2.0
         while True:
             cover = np.zeros(len(centres))
-            np.maximum.at(cover, node, apart[np.arange(len(x)), centres[node]])
+            np.maximum.at(cover, node, np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", x, x[centres[node]]))))
             order = np.argsort(node, kind="stable")
             self.levels.append((centres, cover, order, np.searchsorted(node[order], np.arange(len(centres) + 1))))
             if radius < least or len(centres) == len(x):
@@ -56,25 +59,35 @@ class Tree:
             while radius >= least and cover.max() <= radius:
                 radius /= 2
             upper = node
-            node, centres = self._split(apart, radius)
+            node, centres = self._split(near, radius)
             self.parents.append(upper[centres])
 
-    def _split(self, apart: np.ndarray, radius: float):
+    def _split(self, near: np.ndarray, radius: float):
         """The next net: each node's centre, then in turn the points of the node that none covers yet."""
         centres, cover, order, at = self.levels[-1]
-        own, out = np.empty(len(order), np.int64), []
+        own, out, least = np.empty(len(order), np.int64), [], np.float32(1 - radius * radius / 2)
         for c, r, s, e in zip(centres, cover, at[:-1], at[1:], strict=True):
             rows = order[s:e]
             if r <= radius:
                 own[rows] = len(out)
                 out.append(c)
                 continue
-            net, free = [c], apart[c, rows] > radius
-            while free.any():
-                net.append(rows[np.argmax(free)])
-                free &= apart[net[-1], rows] > radius
-            own[rows] = len(out) + apart[np.ix_(rows, net)].argmin(axis=1)
-            out += net
+            whole = len(rows) == len(near)
+            if whole:
+                rows = np.arange(len(near))
+            free = np.ones(len(rows), bool)
+            nxt = c
+            while True:
+                line = near[nxt] if whole else near[nxt, rows]
+                taken = free & (line >= least)
+                taken[rows == nxt] = True
+                own[rows[taken]] = len(out)
+                out.append(nxt)
+                free &= ~taken
+                first = int(free.argmax())
+                if not free[first]:
+                    break
+                nxt = rows[first]
         return own, np.array(out)
 
 
@@ -90,8 +103,11 @@ def dual(a: Tree, b: Tree | None, reach: float):
         la, lb = min(k, len(a.levels) - 1), min(k, len(b.levels) - 1)
         (ca, ra, *_), (cb, rb, *_) = a.levels[la], b.levels[lb]
         if k and len(i) * 20 > before and not any(len(w[2]) for w in whole):
-            # most parents remain: all pairs of children by one product; what fails here needs no arrays
-            i, j = np.nonzero(2 - 2 * (a.x[ca] @ b.x[cb].T) <= np.square(reach + _EPS + ra[:, None] + rb))
+            # most parents remain: all pairs of children by one product, with room for its rounding; what
+            # fails here needs no arrays
+            widest = float(reach + ra.max() + rb.max())
+            least = 1 - widest * widest / 2 if widest < 1 else 1 - np.square(np.float32(reach) + ra.astype(np.float32)[:, None] + rb.astype(np.float32)) / 2
+            i, j = np.nonzero(a.short[ca] @ b.short[cb].T >= least - np.float32(1e-4))
             if same:
                 keep = i <= j
                 i, j = i[keep], j[keep]
@@ -135,12 +151,24 @@ def product(na, sa, oa, nb, sb, ob):
     return oa[np.repeat(sa, n) + within // np.maximum(width, 1)], ob[np.repeat(sb, n) + within % np.maximum(width, 1)]
 
 
-def links(x: np.ndarray, nx: np.ndarray, y: np.ndarray | None, ny: np.ndarray | None, threshold: float):
-    """Numbers of linked vectors (copies counted) of the points of x and y, and a label for each point
-    that linked points share. ``y`` None compares x with itself."""
-    reach = float(np.sqrt(2 - 2 * threshold))
-    a, b = Tree(x, reach / 4), None if y is None else Tree(y, reach / 4)
-    same = b is None
+def grown(x: np.ndarray, threshold: float) -> Tree:
+    return Tree(x, float(np.sqrt(2 - 2 * threshold)) / 4)
+
+
+def kept(key: tuple, x: np.ndarray, threshold: float) -> Tree:
+    """The tree of a block; a worker keeps the last ones."""
+    trees = kept_by_worker("trees")
+    if key not in trees:
+        while len(trees) >= _KEPT:
+            trees.pop(next(iter(trees)))
+        trees[key] = grown(x, threshold)
+    return trees[key]
+
+
+def links(a: Tree, nx: np.ndarray, b: Tree | None, ny: np.ndarray | None, threshold: float):
+    """Numbers of linked vectors (copies counted) of the points of two trees, and a label for each point
+    that linked points share. ``b`` None compares a tree with itself."""
+    reach, same, x = float(np.sqrt(2 - 2 * threshold)), b is None, a.x
     (last, i, j), whole = dual(a, b, reach)
     b, ny = (a, nx) if same else (b, ny)
     cx, cy = np.zeros(len(x), np.int64), np.zeros(len(b.x), np.int64)
@@ -192,7 +220,7 @@ def links(x: np.ndarray, nx: np.ndarray, y: np.ndarray | None, ny: np.ndarray |
     return cx, None if same else cy, label
 
 
-def embedding_groups(vectors: DataFrame, threshold: float = 0.95, sample: int = 4096, block: int = 2048, cells: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def embedding_groups(vectors: DataFrame, threshold: float = 0.95, sample: int = 4096, block: int = 4096, cells: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Links and groups of the vectors with a cosine of ``threshold`` (above 0) or more, in doubles.
 
     A vector that is null, empty, zero or holds a null or non-finite component links with nothing.
@@ -215,7 +243,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, sample: int =
     n, width = points.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     some = points.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(sample).collect()
     base = unit_rows(np.array([np.pad(r.v, (0, width - len(r.v))) for r in some])) if some else np.zeros((0, width))
-    wanted, centres = max(1, min(cells, n // block)), base[:1]
+    wanted, centres = max(1, min(cells, n // (4 * block))), base[:1]
     best = np.full(len(base), np.inf)
     while len(centres) < min(wanted, len(base)):
         best = np.minimum(best, 2 - 2 * base @ centres[-1])
@@ -245,7 +273,10 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, sample: int =
     left = held.join(blocks, (held.cell == blocks.a) & (held.k == blocks.ka)).select("task", F.lit(0).alias("side"), "node", "copies", "v")
     right = held.join(blocks.where("a < b or ka < kb"), (held.cell == blocks.b) & (held.k == blocks.kb)).select("task", F.lit(1).alias("side"), "node", "copies", "v")
 
+    call = uuid.uuid4().hex
+
     def compare(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")  # a block's points are always in this order
         side, node, copies = (t.column(c).to_numpy() for c in ("side", "node", "copies"))
         x = unit_rows(matrix(t.column("v").combine_chunks(), width))
         one, two = side == 0, side == 1
@@ -254,10 +285,10 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, sample: int =
             return empty
         alone = t.column("task")[0].as_py().split(" ")
         if alone[:2] == alone[2:]:
-            count, _, label = links(x[one], copies[one], None, None, threshold)
+            count, _, label = links(kept((call, *alone[:2]), x[one], threshold), copies[one], None, None, threshold)
             ids = node[one]
         elif two.any():
-            cx, cy, label = links(x[one], copies[one], x[two], copies[two], threshold)
+            cx, cy, label = links(kept((call, *alone[:2]), x[one], threshold), copies[one], kept((call, *alone[2:]), x[two], threshold), copies[two], threshold)
             count, ids = np.concatenate([cx, cy]), np.concatenate([node[one], node[two]])
         else:
             return empty

@@ -14,6 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from .common import kept_by_worker
 from .words import mix64
 
 SEGMENT_BITS = 1 << 22
@@ -54,6 +55,7 @@ def seen_twice(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.nda
     step = min(size, SEGMENT_BITS // 8)
 
     def build(batches):
+        kept_by_worker("bits")
         once, twice, any_rows = np.zeros(size, np.uint8), np.zeros(size, np.uint8), False
         for b in batches:
             for h in hashes(b):
@@ -99,6 +101,7 @@ def bit_table(df: DataFrame, positions_of: Callable[[pa.RecordBatch], Iterator[n
     step = min(size, SEGMENT_BITS // 8)
 
     def build(batches):
+        kept_by_worker("bits")
         own = np.zeros(size, np.uint8)
         for b in batches:
             for at in positions_of(b):

@@ -20,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import kept_by_worker, scratch
 
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 #: Pieces that a worker remembers, and the longest of them: some 300 MB at most.
 _CACHE, _LONGEST = 1_500_000, 64
-_cache: dict[str, dict[str, bytes]] = {}
 _ODD = re.compile(r" \s")
 BLOCK = "shard int, block int, first long, ids array<long>, sizes array<int>, control binary, data binary"
 
@@ -56,7 +55,7 @@ def encode(batches, tokenizer_path: str, end_id: int, kind: str):
     width = np.zeros(tok.get_vocab_size(), np.int64)
     for token, i in tok.get_vocab().items():
         width[i] = len(token) if all(c in spell for c in token) else 0
-    cache = _cache.setdefault(f"{tokenizer_path} {kind}", {})
+    cache = kept_by_worker(f"{tokenizer_path} {kind}")
     end = np.array([end_id], kind).tobytes()
 
     def fill(own: dict[str, bytes], missing: list[str]) -> None:

@@ -38,7 +38,7 @@ def test_embedding_groups(spark):
 
 
 def test_cover_tree_links():
-    from quillveil.llm.cover_tree import links, unit_rows
+    from quillveil.llm.cover_tree import grown, links, unit_rows
 
     rng = np.random.default_rng(1)
     for _ in range(20):
@@ -47,11 +47,11 @@ def test_cover_tree_links():
         make = lambda k: unit_rows(c[rng.integers(0, 12, k)] + rng.normal(size=(k, dim)) * rng.choice([0.02, 0.1, 0.3]))  # noqa: E731, B023
         x, y, nx, ny = make(n), make(m), rng.integers(1, 4, n), rng.integers(1, 4, m)
         linked = x @ y.T >= 0.95
-        cx, cy, _ = links(x, nx, y, ny, 0.95)
+        cx, cy, _ = links(grown(x, 0.95), nx, grown(y, 0.95), ny, 0.95)
         assert (cx == linked @ ny).all() and (cy == linked.T @ nx).all()
         linked = x @ x.T >= 0.95
         np.fill_diagonal(linked, False)
-        assert (links(x, nx, None, None, 0.95)[0] == linked @ nx).all()
+        assert (links(grown(x, 0.95), nx, None, None, 0.95)[0] == linked @ nx).all()
 
 
 def level_targets(sizes, weights, share=1.5, most=2.0):
