@@ -1,13 +1,14 @@
 """Groups of texts whose word-shingle sets have a high Jaccard similarity, found exactly.
 
-Token-combination prefixes. Shingles are put in one global order: rare ones first, then frequent
-ones, each by hash. If two sets of sizes n reach the similarity, they share at least ``a = ceil(t*n)``
+Token-combination prefixes. Shingles are put in one global order: those seen once, then rare ones, then
+frequent ones, each by hash. If two sets of sizes n reach the similarity, they share at least ``a = ceil(t*n)``
 shingles, so they share two within their first ``n - a + 2``. Hence one of these holds: they share a
 rare shingle there, or two frequent ones. The index has one key for each rare shingle of that prefix
 and one for each pair of frequent ones. (Pairs grow with the square of the prefix, so two sets of
 which the larger is long share single frequent shingles of their ``n - a + 1`` prefix instead; sets
 within reach of the limit emit both kinds.) Which shingles are frequent comes from a table of
-counters over the whole corpus; any division into classes gives whole results.
+counters over the whole corpus, which ones are seen once from a twice-seen filter; any division into
+classes gives whole results.
 
 Texts with equal sets form a class and only one of each class is indexed. A fixed-size filter of
 twice-seen keys leaves the rest of the index out before anything shuffles. Within a key's list every
@@ -26,12 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import RowKeys, scratch, text_pieces
 from .components import components
-from .seen import has, packed, seen_twice, unpacked
+from .seen import bit_table, has, packed, positions, seen_twice, unpacked
 from .words import mix64, word_hashes
 
 _C = [np.uint64(c) for c in (0x9FB21C651E98DF25, 0xA24BAED4963EE407, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _LOG_COUNTERS = 22
 _STEP = 1 << 16
+_PARITY = 32
 
 
 def shingle_sets(buf: np.ndarray, bounds: np.ndarray, size: int) -> list[np.ndarray]:
@@ -54,21 +56,22 @@ def shingle_sets(buf: np.ndarray, bounds: np.ndarray, size: int) -> list[np.ndar
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
-    """512 bits as 8 longs; bit b tells whether an odd number of shingles hash to b. Two sets differ in
+    """2,048 bits as longs; bit b tells whether an odd number of shingles hash to b. Two sets differ in
     at least as many shingles as their parities differ in bits."""
-    return np.packbits(np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1).view(np.int64)
+    return np.packbits(np.bincount((shingles >> np.uint64(53)).astype(np.int64), minlength=64 * _PARITY).astype(np.uint8) & 1).view(np.int64)
 
 
-def index_keys(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of one set (see above); ``frequent`` flags its shingles."""
+def index_keys(shingles: np.ndarray, repeated: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of one set (see above); ``repeated`` and ``frequent`` flag its shingles."""
     n = len(shingles)
     if n < 2:
         return np.zeros(0, np.uint64)
     spare = n - -(-percent * n // 100)
-    rare = shingles[~frequent]
+    frequent = frequent & repeated
+    rare = np.concatenate([shingles[~repeated], shingles[repeated & ~frequent]])
     often = shingles[frequent][: max(0, spare + 2 - len(rare))]
     keys = [mix64(rare[: spare + 2])]
-    most = 2400 // max(1, 100 - percent)  # the size up to which pairs are made: prefixes of about 24
+    most = 10000 // max(1, 100 - percent)  # the size up to which pairs are made: prefixes of about 100
     if n <= most and len(often) > 1:
         i, j = np.triu_indices(len(often), 1)
         keys.append(mix64(often[i] * _C[1] + mix64(often[j]) * _C[2]))
@@ -136,11 +139,17 @@ def ngram_groups(docs: DataFrame, size: int = 5, percent: int = 80, log_bits: in
     sc = source.sparkSession.sparkContext
     table = counters(source, size)
     mean = float(table.mean())
-    often = sc.broadcast(table > max(64.0, 2 * mean + 6 * mean**0.5))
+    often = sc.broadcast(table > max(32.0, mean + 6 * mean**0.5))
+
+    def shingles_of(b):
+        for _, _, buf, bounds in text_pieces(b.column(0)):
+            yield np.concatenate(shingle_sets(buf, bounds, size))
+
+    repeated = sc.broadcast(seen_twice(source.select("text"), shingles_of, log_bits))
 
     def keyed(buf, bounds):
         for s in shingle_sets(buf, bounds, size):
-            keys = index_keys(s, often.value[s >> np.uint64(64 - _LOG_COUNTERS)], percent)
+            keys = index_keys(s, has(repeated.value, s, log_bits), often.value[s >> np.uint64(64 - _LOG_COUNTERS)], percent)
             sign = xxhash.xxh3_128_digest(s.tobytes())
             yield s, sign, np.append(keys, np.frombuffer(sign[:8], np.uint64)) if len(s) else keys
 
@@ -154,20 +163,36 @@ def ngram_groups(docs: DataFrame, size: int = 5, percent: int = 80, log_bits: in
         rows = RowKeys()
         for b in batches:
             for i, j, buf, bounds in text_pieces(b.column(1)):
-                n, signs, keys, sets, bits = [], [], [], [], []
+                n, signs, keys, bits = [], [], [], []
                 for s, sign, k in keyed(buf, bounds):
                     hit = k[has(twice.value, k, log_bits)]
                     n.append(len(s))
                     signs.append(sign if len(hit) else None)
-                    sets.append(s.tobytes() if len(hit) else None)
                     bits.append(parity(s) if len(hit) else None)
                     keys.append(np.unique(hit[hit != k[-1]]).view(np.int64) if len(hit) else None)
-                yield pa.RecordBatch.from_arrays([pa.array(rows.take(j - i)), b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["key", "doc_id", "n", "sign", "keys", "shingles", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows.take(j - i)), b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["key", "doc_id", "n", "sign", "keys", "bits"])
 
-    judged = scratch(source.mapInArrow(suspect, "key long, doc_id long, n long, sign binary, keys array<long>, shingles binary, bits array<long>"), "shingles")
+    judged = scratch(source.mapInArrow(suspect, "key long, doc_id long, n long, sign binary, keys array<long>, bits array<long>"), "shingles")
     suspects = judged.where("sign is not null")
     classes = scratch(suspects.groupBy("sign").agg(F.min("key").alias("node"), F.count("*").alias("copies")), "classes")
-    sets = suspects.join(classes.select(F.col("node").alias("key")), "key", "left_semi").select("key", "shingles")
+    parities = suspects.select(F.col("key").alias("node"), *[F.col("bits")[q].alias(f"p{q}") for q in range(_PARITY)])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that reach the similarity; the sets of their texts alone are made again and shuffled."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        signs = scratch(classes.join(wanted, "node").select("node", "sign"), "signs")
+        bits = sc.broadcast(bit_table(signs.select("sign"), lambda b: (at for at in positions(np.array([int.from_bytes(x[:8], "little") for x in b.column(0).to_pylist()], np.uint64), 25)), 25))
+
+        def pick(batches):
+            for b in batches:
+                for _, _, buf, bounds in text_pieces(b.column(0)):
+                    got = [(s, xxhash.xxh3_128_digest(s.tobytes())) for s in shingle_sets(buf, bounds, size) if len(s)]
+                    hit = has(bits.value, np.array([int.from_bytes(d[:8], "little") for _, d in got], np.uint64), 25)
+                    yield pa.RecordBatch.from_arrays([pa.array([d for (_, d), h in zip(got, hit, strict=True) if h], pa.binary()), pa.array([s.tobytes() for (s, _), h in zip(got, hit, strict=True) if h], pa.binary())], names=["sign", "shingles"])
+
+        sets = source.select("text").mapInArrow(pick, "sign binary, shingles binary").join(signs, "sign").dropDuplicates(["sign"]).select(F.col("node").alias("key"), "shingles")
+        return _verified(pairs, scratch(sets, "sets"), percent)
+
     entries = suspects.select("key", "n", "keys").join(classes.select(F.col("node").alias("key"), "copies"), "key").select(F.col("key").alias("node"), "n", "copies", F.explode("keys").alias("k"))
     entries = scratch(entries, "entries")
     lists = scratch(entries.groupBy("k").agg(F.count("*").alias("c"), F.min(F.struct((-F.col("copies")).alias("c"), "n", "node")).alias("lo"), F.max(F.struct((-F.col("copies")).alias("c"), "n", "node")).alias("hi")).where("c > 1"), "lists")
@@ -175,18 +200,21 @@ def ngram_groups(docs: DataFrame, size: int = 5, percent: int = 80, log_bits: in
     members = scratch(entries.join(lists.where("c > 2").select("k", "lo"), "k"), "members")
     two = lists.where("c = 2").select(F.col("lo.node").alias("a"), F.col("lo.n").alias("na"), F.col("hi.node").alias("b"), F.col("hi.n").alias("nb"))
     star = members.where("node <> lo.node").select(F.col("lo.node").alias("a"), F.col("lo.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    tried = scratch(two.union(star).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = scratch(_verified(tried, sets, percent), "links")
+    tried = two.union(star).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("total")).distinct()
+    for c in "ab":
+        tried = tried.join(parities.toDF(c, *[f"{c}{q}" for q in range(_PARITY)]), c)
+    apart = " + ".join(f"bit_count(a{q} ^ b{q})" for q in range(_PARITY))
+    close = f"{100 + percent} * ({apart}) <= {100 - percent} * "
+    tried = scratch(tried.where(close + "total").select("a", "b"), "pairs")
+    links = scratch(verified(tried), "links")
     roots = components(links)
     named = members.select("k", "node", "n").join(roots, "node", "left").select("k", "node", "n", F.coalesce("root", "node").alias("root"))
     named = scratch(named, "named")
     split = named.groupBy("k").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("k")
-    open_ = named.join(split, "k", "left_semi").join(suspects.select(F.col("key").alias("node"), "bits"), "node").select("k", "node", "n", "root", *[F.col("bits")[q].alias(f"p{q}") for q in range(8)])
-    x, y = (open_.toDF("k", c, f"n{c}", f"r{c}", *[f"{c}{q}" for q in range(8)]) for c in "ab")
-    apart = " + ".join(f"bit_count(a{q} ^ b{q})" for q in range(8))
-    close = f"{100 + percent} * ({apart}) <= {100 - percent} * (na + nb)"
-    cross = x.join(y, "k").where("a < b and ra <> rb").where(near).where(close).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = scratch(_verified(cross, sets, percent), "links")
+    open_ = named.join(split, "k", "left_semi").join(parities, "node").select("k", "node", "n", "root", *[f"p{q}" for q in range(_PARITY)])
+    x, y = (open_.toDF("k", c, f"n{c}", f"r{c}", *[f"{c}{q}" for q in range(_PARITY)]) for c in "ab")
+    cross = x.join(y, "k").where("a < b and ra <> rb").where(near).where(close + "(na + nb)").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    more = scratch(verified(scratch(cross, "pairs")), "links")
     roots = scratch(components(links.union(more)), "roots")
 
     placed = suspects.select("key", "doc_id", "n", "sign").join(classes, "sign").join(roots, "node", "left").select("key", "doc_id", "n", F.coalesce("root", "node").alias("root"))
