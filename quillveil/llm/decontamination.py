@@ -13,8 +13,14 @@ from pyspark.sql import functions as F
 
 from .common import scratch
 
-#: Positions that count in each mask.
-MASKS = ((0, 1, 3, 5, 6), (0, 1, 2, 5, 7))
+#: Positions that count in each mask over four words.
+MASKS = ((0, 1, 3), (0, 2, 3))
+#: With these, three words that agree among any four consecutive ones are a seed. Without one, at most two
+#: of every four words agree: of 13 words at most 7, and fewer than 60% of any number not in UNSURE.
+SEEDS = ((0, 1, 2), *MASKS)
+#: Numbers of words of which 60% can agree without such a seed, and the masks that find these.
+UNSURE = (1, 2, 3, 5, 6, 10)
+SHORT = ((0,), (0, 1), (0, 2))
 
 
 def words(text: Column) -> Column:
@@ -25,20 +31,23 @@ def words(text: Column) -> Column:
 def seeds(masks: tuple = MASKS) -> Column:
     """All masked hashes of the column ``words``: structs of position and hash."""
 
-    def of(m: int, mask: tuple) -> Column:
-        last = F.size("words") - 1 - max(mask)
-        at = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(m), *[F.get(F.col("words"), i + k) for k in mask]).alias("h")))
+    def of(hashes: Column, mask: tuple) -> Column:
+        last = F.size(hashes) - 1 - max(mask)
+        at = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(str(mask)), *[F.get(hashes, i + k) for k in mask]).alias("h")))
         return F.filter(at, lambda _: last >= 0)
 
-    return F.concat(*[of(m, mask) for m, mask in enumerate(masks)])
+    # each word is hashed once; the list of one element binds the hashes to a name
+    return F.flatten(F.transform(F.array(F.transform("words", lambda w: F.xxhash64(w))), lambda hashes: F.concat(*[of(hashes, mask) for mask in masks])))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple = MASKS, window: int = 13, least: int = 10, share: float = 0.6, broadcast_rows: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple = SEEDS, window: int = 13, least: int = 10, share: float = 0.6, broadcast_rows: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents that hold benchmark passages (item_id, text), one row per document and item.
 
     Along an alignment, a passage counts as held if ``least`` of some ``window`` consecutive words agree,
-    or ``share`` of all its words. Words are lower-cased. Items shorter than every mask match nothing;
-    null texts have no words. Rows that share an id are reported once; a null id is kept as null.
+    or ``share`` of all its words. Words are lower-cased; null texts have no words. Rows that share an id
+    are reported once; a null id is kept as null. No such passage is missed with the default masks and
+    the default or stricter values of ``window``, ``least`` and ``share``; items of few words (UNSURE)
+    are also sought by SHORT masks, on both sides only if there are such items.
 
     Returns ``id_col``, item_id, n_matched (words that agree), n_words (of the item), best_window,
     at (the document's word where the item would begin). The benchmark's seeds are broadcast if they
@@ -46,18 +55,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple = MASKS, window
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select("item_id", words(F.col("text")).alias("words"))
-    keys = scratch(items.select("item_id", F.explode(seeds(masks)).alias("s")).select("item_id", F.col("s.h").alias("h"), F.col("s.pos").alias("item_pos")), "seeds")
+    few = F.size("words").isin(*UNSURE)
+    every = (*masks, *SHORT) if not items.where(few).isEmpty() else masks
+    own = F.when(few, seeds((*masks, *SHORT))).otherwise(seeds(masks))
+    keys = scratch(items.select("item_id", F.explode(own).alias("s")).select("item_id", F.col("s.h").alias("h"), F.col("s.pos").alias("item_pos")), "seeds")
     small = keys.count() <= broadcast_rows
-    found = source.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", F.explode(seeds(masks)).alias("s")).select("doc_id", F.col("s.h").alias("h"), F.col("s.pos").alias("pos"))
+    found = source.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", F.explode(seeds(every)).alias("s")).select("doc_id", F.col("s.h").alias("h"), F.col("s.pos").alias("pos"))
     hits = found.join(F.broadcast(keys) if small else keys, "h")
     hits = scratch(hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("at")).agg(F.count("*").alias("n_seeds")), "hits")
     pairs = hits.join(items.withColumnRenamed("words", "item"), "item_id").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("item_id", "at", "item")).alias("hits"))
-    both = source.join(pairs, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", words(F.col("text")).alias("words"), "hits")
-    lined = both.select("doc_id", F.expr("""transform(hits, x -> named_struct('item_id', x.item_id, 'at', x.at, 'same',
-        transform(sequence(0, size(x.item) - 1), k -> if(x.at + k >= 0 and get(x.item, k) = get(words, if(x.at + k < 0, 0, x.at + k)), 1, 0))))""").alias("hits")).select("doc_id", F.explode("hits").alias("x")).select("doc_id", "x.*")
+    both = source.join(pairs, F.col("doc_id").eqNullSafe(F.col("id")))
+
+    def same(ws: Column, x: Column) -> Column:
+        return F.transform(x["item"], lambda w, k: F.when((x["at"] + k >= 0) & (w == F.get(ws, F.greatest(x["at"] + k, F.lit(0)))), 1).otherwise(0))
+
+    # the list of one element splits a text once, not for every word that is compared
+    bound = F.transform(F.array(words(F.col("text"))), lambda ws: F.transform("hits", lambda x: F.struct(x["item_id"].alias("item_id"), x["at"].alias("at"), same(ws, x).alias("same"))))
+    lined = both.select("doc_id", F.explode(F.flatten(bound)).alias("x")).select("doc_id", "x.*")
     total = F.aggregate("same", F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0)))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size("same") - window + 1, F.lit(1))), lambda s: F.aggregate(F.slice(F.col("same"), s, window), F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0)))))
-    judged = lined.select("doc_id", "item_id", "at", total.alias("n_matched"), best.alias("best_window"), F.size("same").alias("n_words"))
+    lined = lined.withColumn("n_matched", total).where(f"n_matched >= least({least}, {share} * size(same))")
+    judged = lined.select("doc_id", "item_id", "at", "n_matched", best.alias("best_window"), F.size("same").alias("n_words"))
     judged = judged.where((F.col("best_window") >= least) | (F.col("n_matched") >= share * F.col("n_words")))
     top = F.max(F.struct("n_matched", "best_window", (-F.col("at")).alias("at"), "n_words"))
     return judged.groupBy("doc_id", "item_id").agg(top.alias("t")).select(F.col("doc_id").alias(id_col), "item_id", F.col("t.n_matched").alias("n_matched"), F.col("t.n_words").alias("n_words"), F.col("t.best_window").alias("best_window"), (-F.col("t.at")).alias("at"))

@@ -144,6 +144,44 @@ def test_decontamination(spark):
     assert overlaps(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_every_accepted_pattern_holds_a_seed():
+    from quillveil.llm.decontamination import SEEDS, SHORT, UNSURE
+
+    for n in range(1, 17):
+        masks = (*SEEDS, *SHORT) if n in UNSURE else SEEDS
+        bits = np.arange(1 << n)
+        count = lambda x: sum((x >> k) & 1 for k in range(n))  # noqa: B023, E731
+        held = sum((count(bits >> s & ((1 << 13) - 1)) >= 10 for s in range(n)), np.zeros(1 << n, bool)) | (10 * count(bits) >= 6 * n)
+        seeded = np.zeros(1 << n, bool)
+        for m in masks:
+            for s in range(n - max(m)):
+                want = sum(1 << (s + k) for k in m)
+                seeded |= bits & want == want
+        assert seeded[held].all()
+    for n in range(11, 2000):  # without a seed at most two of every four words agree
+        assert 10 * (2 * (n // 4) + min(n % 4, 2)) < 6 * n
+
+
+def test_decontamination_finds_all_stated_patterns(spark):
+    from itertools import combinations
+
+    from quillveil.llm.decontamination import overlaps
+
+    items = {1: [f"a{k}" for k in range(60)], 2: [f"b{k}" for k in range(13)], **{10 + n: [f"c{n}x{k}" for k in range(n)] for n in range(1, 11)}}
+    cases = [(1, [k for k in range(60) if k % period == phase]) for period in range(2, 7) for phase in range(period)] + [(2, list(gone)) for gone in combinations(range(13), 3)]
+    cases += [(1, [*range(23), *[k + 23 for k in (3, 7, 11)], *range(36, 60)])]
+    cases += [(10 + n, list(gone)) for n in range(1, 11) for gone in combinations(range(n), n - -(-6 * n // 10))]
+    docs, want = [], set()
+    for d, (i, gone) in enumerate(cases):
+        same = [k not in gone for k in range(len(items[i]))]
+        docs.append((d, " ".join(w if s else f"new{k}" for k, (w, s) in enumerate(zip(items[i], same, strict=True))), "en", "a"))
+        if 10 * sum(same) >= 6 * len(same) or any(sum(same[s : s + 13]) >= 10 for s in range(len(same))):
+            want.add((d, i, sum(same), 0))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.n_matched, r["at"]) for r in overlaps(frame(spark, docs), bench).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 600
+
+
 def test_seeds_match_every_masked_position(spark):
     from quillveil.llm.decontamination import MASKS, seeds
 
