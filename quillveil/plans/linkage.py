@@ -127,15 +127,14 @@ def stride_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def avg_linkage_fixed_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average linkage with K = number of labels, in cells of about a hundred vectors."""
-    e = read(spark, sf_dir, "embeddings")
-    cells = e.withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, e.count() // 100))))
-    found = L.fixed_k_clusters(cells, "cell", "vec_id", "embedding", "label")
-    n = found.groupBy("cell").agg(F.count("*").alias("n"))
-    cells = found.groupBy("cell", "label", "cluster").agg(F.count("*").alias("nij"))
-    cells = cells.withColumn("ni", F.sum("nij").over(Window.partitionBy("cell", "label"))).withColumn("nj", F.sum("nij").over(Window.partitionBy("cell", "cluster")))
+    """Average linkage of all vectors of a tier with K = number of labels."""
+    e = read(spark, sf_dir, "embeddings").withColumn("tier", F.col("label") % 3)
+    found = L.fixed_k_clusters(e, "tier", "vec_id", "embedding", "label")
+    n = found.groupBy("tier").agg(F.count("*").alias("n"))
+    cells = found.groupBy("tier", "label", "cluster").agg(F.count("*").alias("nij"))
+    cells = cells.withColumn("ni", F.sum("nij").over(Window.partitionBy("tier", "label"))).withColumn("nj", F.sum("nij").over(Window.partitionBy("tier", "cluster")))
     nij = F.col("nij").cast("double")
-    return cells.groupBy("cell").agg(F.sum(nij * nij / F.col("nj")).alias("p"), F.sum(nij * nij / F.col("ni")).alias("r")).join(n, "cell").select("cell", "n", F.round(F.col("p") / F.col("n"), 6).alias("bcubed_precision"), F.round(F.col("r") / F.col("n"), 6).alias("bcubed_recall"))
+    return cells.groupBy("tier").agg(F.sum(nij * nij / F.col("nj")).alias("p"), F.sum(nij * nij / F.col("ni")).alias("r")).join(n, "tier").select("tier", "n", F.round(F.col("p") / F.col("n"), 6).alias("bcubed_precision"), F.round(F.col("r") / F.col("n"), 6).alias("bcubed_recall"))
 
 
 @query("""SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS k_exact, count(*) OVER (PARTITION BY n_regionkey, c_mktsegment) AS k_coarse, count(*) OVER (PARTITION BY n_regionkey) AS k_region

@@ -105,6 +105,38 @@ def test_average_linkage():
     assert L.average_linkage(d, 2).tolist() == [0, 0, 2, 2] and L.average_linkage(d, 4).tolist() == [0, 1, 2, 3] and len(set(L.average_linkage(d, 1))) == 1
 
 
+def test_average_linkage_takes_the_first_smallest_pair():
+    def plain(distance, k):
+        label, size, d = np.arange(len(distance)), np.ones(len(distance)), np.array(distance, float)
+        np.fill_diagonal(d, np.inf)
+        for _ in range(len(d) - k):
+            i, j = sorted(divmod(int(d.argmin()), len(d)))
+            d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+            d[i, i] = np.inf
+            d[j] = d[:, j] = np.inf
+            size[i] += size[j]
+            label[label == j] = i
+        return label
+
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 40, 90):
+        for d in (rng.random((n, n)), rng.integers(0, 4, (n, n)) / 4):
+            d = np.triu(d, 1) + np.triu(d, 1).T
+            for k in {1, min(n, 3), n}:
+                assert L.average_linkage(d, k).tolist() == plain(d, k).tolist()
+
+
+def test_fixed_k_clusters_all_of_a_tier(spark, tmp_path):
+    from quillveil.plans.linkage import avg_linkage_fixed_k
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(6, 8))
+    rows = [(k, [float(x) for x in centres[k % 6] + rng.normal(size=8) * 0.01], k % 6) for k in range(600)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = avg_linkage_fixed_k(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(t, 200, 1.0, 1.0) for t in range(3)]
+
+
 def test_redacted_text_keeps_no_identifier(spark):
     person = spark.createDataFrame([("P1", "Ann Lee", "ann@x.org", "(212) 555-0199", "1 Elm St", "ACCT-77", "Ann Lee (ANN@x.org, (212) 555-0199) of 1 Elm St, acct-77; lee")], "pid string, name string, email string, phone string, address string, account string, text string")
     repl = person.select("pid", F.lit("c1").alias("condition"), R.direct_replacements({c: F.col(c) for c in ("name", "email", "phone", "address", "account")}).alias("replacements"))
