@@ -6,12 +6,11 @@ shingles, so they share two within their first ``n - a + 2``. Hence one of these
 rare shingle there, or two frequent ones. The index has one key for each rare shingle of that prefix
 and one for each pair of frequent ones. (Pairs grow with the square of the prefix, so two sets of
 which the larger is long share single frequent shingles of their ``n - a + 1`` prefix instead; sets
-within reach of the limit emit both kinds.) Which shingles are frequent comes from a table of
-counters over the whole corpus, which ones are seen once from a twice-seen filter; any division into
-classes gives whole results.
+within reach of the limit emit both kinds.) Which shingles are repeated and which are frequent is
+counted over the whole corpus and told by filters; any division into classes gives whole results.
 
-Texts with equal sets form a class and only one of each class is indexed. A fixed-size filter of
-twice-seen keys leaves the rest of the index out before anything shuffles. Within a key's list every
+Texts with equal sets form a class and only one of each class is indexed. A filter of twice-seen
+keys leaves the rest of the index out before anything shuffles. Within a key's list every
 member is first compared with one of them; only members that are still in different components are
 then compared with each other, so that a large group of copies costs a number of comparisons in
 proportion to its size, and no link that could join two components is lost.
@@ -27,12 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import RowKeys, scratch, text_pieces
 from .components import components
-from .seen import bit_table, has, packed, positions, seen_twice, unpacked
+from .seen import expected_units, filter_of, seen_often, seen_twice
 from .words import mix64, word_hashes
 
 _C = [np.uint64(c) for c in (0x9FB21C651E98DF25, 0xA24BAED4963EE407, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
-_LOG_COUNTERS = 22
-_STEP = 1 << 16
 _PARITY = 32
 
 
@@ -80,33 +77,6 @@ def index_keys(shingles: np.ndarray, repeated: np.ndarray, frequent: np.ndarray,
     return np.concatenate(keys)
 
 
-def counters(source: DataFrame, size: int) -> np.ndarray:
-    """Documents per counter of shingle hashes, over the whole corpus; a table of fixed size."""
-
-    def count(batches):
-        own = np.zeros(1 << _LOG_COUNTERS, np.uint32)
-        for b in batches:
-            for _, _, buf, bounds in text_pieces(b.column(0)):
-                sets = shingle_sets(buf, bounds, size)
-                own += np.bincount((np.concatenate(sets) >> np.uint64(64 - _LOG_COUNTERS)).astype(np.int64), minlength=len(own)).astype(np.uint32)
-        for k in range(0, len(own), _STEP):
-            if own[k : k + _STEP].any():
-                yield pa.RecordBatch.from_pydict({"seg": pa.array([k // _STEP], pa.int32()), "n": [packed(own[k : k + _STEP])]})
-
-    def add(batches):
-        own: dict[int, np.ndarray] = {}
-        for b in batches:
-            for seg, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own[seg] = own.get(seg, 0) + unpacked(n).view(np.uint32)
-        for seg, n in own.items():
-            yield pa.RecordBatch.from_pydict({"seg": pa.array([seg], pa.int32()), "n": [packed(n)]})
-
-    out = np.zeros(1 << _LOG_COUNTERS, np.uint32)
-    for row in source.select("text").mapInArrow(count, "seg int, n binary").repartition(16, "seg").mapInArrow(add, "seg int, n binary").collect():
-        out[row.seg * _STEP : (row.seg + 1) * _STEP] = unpacked(row.n).view(np.uint32)
-    return out
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity."""
 
@@ -123,49 +93,55 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
-def ngram_groups(docs: DataFrame, size: int = 5, percent: int = 80, log_bits: int = 27, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_groups(docs: DataFrame, size: int = 5, percent: int = 80, frequent: int = 32, most_bytes: int = 1 << 27, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Connected groups of texts whose sets of ``size``-word shingles have a Jaccard similarity of
     ``percent``/100 or more (percent above 50).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. A text with fewer words than ``size`` has
     the whole sequence as its one shingle; a null text or one without words has none and links with
     nothing. Repeated rows are texts of their own that link with each other. Other columns are not
-    read.
+    read. A shingle is frequent if ``frequent`` texts hold it; ``most_bytes`` bounds each filter.
 
     Returns one row per input row: ``id_col``, n_shingles (long), component_id (the smallest id in
     the group, ignoring nulls), kept (boolean: true for one row of each group).
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sc = source.sparkSession.sparkContext
-    table = counters(source, size)
-    mean = float(table.mean())
-    often = sc.broadcast(table > max(32.0, mean + 6 * mean**0.5))
+    expected = expected_units(source, "text", 6)
 
     def shingles_of(b):
         for _, _, buf, bounds in text_pieces(b.column(0)):
             yield np.concatenate(shingle_sets(buf, bounds, size))
 
-    repeated = sc.broadcast(seen_twice(source.select("text"), shingles_of, log_bits))
+    filters = seen_often(source.select("text"), shingles_of, expected, (2, frequent), most_bytes)
+    shared = sc.broadcast(tuple(filters))
 
     def keyed(buf, bounds):
-        for s in shingle_sets(buf, bounds, size):
-            keys = index_keys(s, has(repeated.value, s, log_bits), often.value[s >> np.uint64(64 - _LOG_COUNTERS)], percent)
+        """Of each text the shingles, their signature, and the index keys with the signature's own at the end."""
+        sets = shingle_sets(buf, bounds, size)
+        flat, ends = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+        repeated, often = (f.has(flat) for f in shared.value)
+        for s, at, to in zip(sets, ends[:-1], ends[1:], strict=True):
             sign = xxhash.xxh3_128_digest(s.tobytes())
+            keys = index_keys(s, repeated[at:to], often[at:to], percent)
             yield s, sign, np.append(keys, np.frombuffer(sign[:8], np.uint64)) if len(s) else keys
 
     def hashes(b):
         for _, _, buf, bounds in text_pieces(b.column(0)):
             yield np.concatenate([k for _, _, k in keyed(buf, bounds)])
 
-    twice = sc.broadcast(seen_twice(source.select("text"), hashes, log_bits))
+    again = sc.broadcast(seen_twice(source.select("text"), hashes, expected, most_bytes))
 
     def suspect(batches):
         rows = RowKeys()
         for b in batches:
             for i, j, buf, bounds in text_pieces(b.column(1)):
                 n, signs, keys, bits = [], [], [], []
-                for s, sign, k in keyed(buf, bounds):
-                    hit = k[has(twice.value, k, log_bits)]
+                texts = [*keyed(buf, bounds)]
+                ends = np.cumsum([0, *(len(k) for _, _, k in texts)])
+                flags = again.value.has(np.concatenate([k for _, _, k in texts]))
+                for (s, sign, k), at, to in zip(texts, ends[:-1], ends[1:], strict=True):
+                    hit = k[flags[at:to]]
                     n.append(len(s))
                     signs.append(sign if len(hit) else None)
                     bits.append(parity(s) if len(hit) else None)
@@ -173,6 +149,8 @@ def ngram_groups(docs: DataFrame, size: int = 5, percent: int = 80, log_bits: in
                 yield pa.RecordBatch.from_arrays([pa.array(rows.take(j - i)), b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["key", "doc_id", "n", "sign", "keys", "bits"])
 
     judged = scratch(source.mapInArrow(suspect, "key long, doc_id long, n long, sign binary, keys array<long>, bits array<long>"), "shingles")
+    shared.destroy()
+    again.destroy()
     suspects = judged.where("sign is not null")
     classes = scratch(suspects.groupBy("sign").agg(F.min("key").alias("node"), F.count("*").alias("copies")), "classes")
     parities = suspects.select(F.col("key").alias("node"), *[F.col("bits")[q].alias(f"p{q}") for q in range(_PARITY)])
@@ -181,17 +159,19 @@ def ngram_groups(docs: DataFrame, size: int = 5, percent: int = 80, log_bits: in
         """The pairs (a, b) that reach the similarity; the sets of their texts alone are made again and shuffled."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         signs = scratch(classes.join(wanted, "node").select("node", "sign"), "signs")
-        bits = sc.broadcast(bit_table(signs.select("sign"), lambda b: (at for at in positions(np.array([int.from_bytes(x[:8], "little") for x in b.column(0).to_pylist()], np.uint64), 25)), 25))
+        wanted_by = sc.broadcast(filter_of(signs.select("sign"), lambda b: (np.array([int.from_bytes(x[:8], "little") for x in b.column(0).to_pylist()], np.uint64),), signs.count(), most_bytes))
 
         def pick(batches):
             for b in batches:
                 for _, _, buf, bounds in text_pieces(b.column(0)):
                     got = [(s, xxhash.xxh3_128_digest(s.tobytes())) for s in shingle_sets(buf, bounds, size) if len(s)]
-                    hit = has(bits.value, np.array([int.from_bytes(d[:8], "little") for _, d in got], np.uint64), 25)
+                    hit = wanted_by.value.has(np.array([int.from_bytes(d[:8], "little") for _, d in got], np.uint64))
                     yield pa.RecordBatch.from_arrays([pa.array([d for (_, d), h in zip(got, hit, strict=True) if h], pa.binary()), pa.array([s.tobytes() for (s, _), h in zip(got, hit, strict=True) if h], pa.binary())], names=["sign", "shingles"])
 
         sets = source.select("text").mapInArrow(pick, "sign binary, shingles binary").join(signs, "sign").dropDuplicates(["sign"]).select(F.col("node").alias("key"), "shingles")
-        return _verified(pairs, scratch(sets, "sets"), percent)
+        sets = scratch(sets, "sets")
+        wanted_by.destroy()
+        return _verified(pairs, sets, percent)
 
     entries = suspects.select("key", "n", "keys").join(classes.select(F.col("node").alias("key"), "copies"), "key").select(F.col("key").alias("node"), "n", "copies", F.explode("keys").alias("k"))
     entries = scratch(entries, "entries")
@@ -210,7 +190,7 @@ def ngram_groups(docs: DataFrame, size: int = 5, percent: int = 80, log_bits: in
     roots = components(links)
     named = members.select("k", "node", "n").join(roots, "node", "left").select("k", "node", "n", F.coalesce("root", "node").alias("root"))
     named = scratch(named, "named")
-    split = named.groupBy("k").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("k")
+    split = scratch(named.groupBy("k").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("k"), "split")
     open_ = named.join(split, "k", "left_semi").join(parities, "node").select("k", "node", "n", "root", *[f"p{q}" for q in range(_PARITY)])
     x, y = (open_.toDF("k", c, f"n{c}", f"r{c}", *[f"{c}{q}" for q in range(_PARITY)]) for c in "ab")
     cross = x.join(y, "k").where("a < b and ra <> rb").where(near).where(close + "(na + nb)").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
@@ -219,7 +199,8 @@ def ngram_groups(docs: DataFrame, size: int = 5, percent: int = 80, log_bits: in
 
     placed = suspects.select("key", "doc_id", "n", "sign").join(classes, "sign").join(roots, "node", "left").select("key", "doc_id", "n", F.coalesce("root", "node").alias("root"))
     placed = scratch(placed, "placed")
-    heads = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("head"))
+    # a table of its own, so that Spark can split the rows of a large group in the join
+    heads = scratch(placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("head")), "heads")
     grouped = placed.join(heads, "root").select("doc_id", F.col("n").alias("n_shingles"), F.col("head.doc_id").alias("component_id"), (F.col("key") == F.col("head.key")).alias("kept"))
     alone = judged.where("sign is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return grouped.union(alone).withColumnRenamed("doc_id", id_col)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import RowKeys, lists, scratch, text_pieces
-from .seen import has, seen_twice
+from .seen import expected_units, seen_twice
 from .words import mix64, word_hashes, word_spans
 
 _NAME_L, _NAME_R, _RUN = np.uint64(0x9E6C63D0876A9A47), np.uint64(0xC13FA9A902A6328F), np.uint64(0x91E10DA5C79E7B1D)
@@ -72,7 +72,7 @@ def _window_hashes(words: np.ndarray, starts: np.ndarray, window: int) -> tuple[
     return out[0], out[1]
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, rounds: int = 5, log_bits: int = 28, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 35, rounds: int = 5, most_bytes: int = 1 << 27, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove every word that a repeated window covers.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, compared unchanged. A window is ``window`` consecutive words of
@@ -92,7 +92,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, rounds: int = 5, log_bits
             if len(words):
                 yield _rounds(words, _docs_of(first), rounds)
 
-    shared = source.sparkSession.sparkContext.broadcast(seen_twice(source.select("text"), symbols, log_bits))
+    expected = expected_units(source, "text", 6 * 1.4**rounds)
+    shared = source.sparkSession.sparkContext.broadcast(seen_twice(source.select("text"), symbols, expected, most_bytes))
 
     def suspects(batches):
         keys = RowKeys()
@@ -104,7 +105,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, rounds: int = 5, log_bits
                 starts = np.zeros(0, np.int64)
                 if len(words):
                     sym, starts, lo, hi, alive = _rounds(words, _docs_of(first), rounds, window)
-                    twice = np.concatenate([[0], np.cumsum(has(shared.value, sym, log_bits))])
+                    twice = np.concatenate([[0], np.cumsum(shared.value.has(sym))])
                     lo, hi = np.where(alive, lo, 0), np.where(alive, hi, 0)
                     starts = starts[~alive | (twice[hi + 1] - twice[lo] == hi + 1 - lo)]
                 of = np.searchsorted(starts, first)

@@ -29,9 +29,13 @@ def test_line_dedup(spark):
         lines = (t or "").split("\n")
         kept = [x for x in lines if not (len(strip(x)) >= 40 and held[strip(x)] >= 5 and top[strip(x)] != i)]
         want[(i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())] += 1
-    got = line_dedup(frame(spark, rows), log_bits=16)
-    assert rows_of(got, "doc_id", "n_lines", "n_dropped", "kept_sha256") == want
-    assert line_dedup(spark.createDataFrame([], SCHEMA), log_bits=16).count() == 0
+    for bound in (1 << 26, 0):  # with the shared lines broadcast, and joined
+        got = line_dedup(frame(spark, rows), broadcast_bytes=bound)
+        assert rows_of(got, "doc_id", "n_lines", "n_dropped", "kept_sha256") == want
+    for most in (1 << 27, 1):  # filters that are folded until they are nearly full change nothing
+        got = line_dedup(frame(spark, rows), most_bytes=most)
+        assert rows_of(got, "doc_id", "n_lines", "n_dropped", "kept_sha256") == want
+    assert line_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_substring_dedup(spark):
@@ -44,10 +48,10 @@ def test_substring_dedup(spark):
         w = words(t)
         gone = {q for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for q in range(k, k + 35)}
         want[(i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())] += 1
-    got = substring_dedup(frame(spark, rows), log_bits=18)
+    got = substring_dedup(frame(spark, rows))
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == want
     assert sum(k[2] for k in want) > 500
-    assert substring_dedup(spark.createDataFrame([], SCHEMA), log_bits=16).count() == 0
+    assert substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_recompression_names_equal_cores_alike():
@@ -84,10 +88,10 @@ def test_ngram_groups(spark):
                     group = [new if g == old else g for g in group]
         ids = {g: min((r[0] for r, h in zip(rows, group, strict=True) if h == g and r[0] is not None), default=None) for g in group}
         want = Counter((r[0], len(s), ids[g]) for r, s, g in zip(rows, sets, group, strict=True))
-        got = ngram_groups(frame(spark, rows), size, percent, log_bits=16).cache()
+        got = ngram_groups(frame(spark, rows), size, percent).cache()
         assert rows_of(got, "doc_id", "n_shingles", "component_id") == want
         assert got.where("kept").count() == len(set(group))
-    assert ngram_groups(spark.createDataFrame([], SCHEMA), log_bits=16).count() == 0
+    assert ngram_groups(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_index_keys_lose_no_pair():
@@ -109,24 +113,70 @@ def test_index_keys_lose_no_pair():
                 assert len(np.intersect1d(index_keys(base, known(base), often(base), 90), index_keys(other, known(other), often(other), 90)))
 
 
-def test_lm_score(spark):
+class PlainModel:
+    """The model of lm_score by dictionaries of exact counts."""
+
+    def __init__(self, texts, mu=100.0):
+        self.words, self.pairs, self.mu = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(["<s>", *t], t, strict=False)), mu
+        self.n, self.v = sum(self.words.values()), len(self.words)
+        self.held, self.open = Counter(), Counter()
+        for (u, _), c in self.pairs.items():
+            self.held[u] += self.value(c)
+            self.open[u] += c if c < 2 else 0
+
+    def value(self, c):
+        return (6 * 2 ** (int(math.log2(c / 2))) - 1) / 2 if c > 1 else 0
+
+    def p1(self, w):
+        return (self.words[w] + 0.1) / (self.n + 0.1 * (self.v + 1))
+
+    def p(self, w, u):
+        rest = self.mu + self.open[u]
+        return (self.value(self.pairs[u, w]) + rest * self.p1(w)) / (self.held[u] + rest)
+
+
+@pytest.mark.parametrize("in_segment", [1 << 17, 256])
+def test_lm_score(spark, monkeypatch, in_segment):
+    from quillveil.llm import lm_score as module
     from quillveil.llm.common import id_bucket
-    from quillveil.llm.lm_score import lm_score
 
+    monkeypatch.setattr(module, "_IN_SEGMENT", in_segment)
     rows = documents()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     texts = [[*[w.translate(LOWER) for w in words(t)], None] for _, t, *_ in rows]
-    count = Counter(w for r, t in zip(rows, texts, strict=True) if not held(r[0]) for w in t)
-    n, v = sum(count.values()), len(count)
-    want = sorted((-1 if r[0] is None else r[0], held(r[0]), len(t), sum(count[w] > 0 for w in t), n) for r, t in zip(rows, texts, strict=True))
-    base = sorted(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t) for t in texts)
-    for head in (1 << 19, 50):  # with and without a joined tail
-        got = lm_score(frame(spark, rows), id_bucket("doc_id", 10) == 0, head=head, classes=40, log_bits=18).collect()
-        assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got) == want
-        assert sorted(r.base_score for r in got) == pytest.approx(base)
-        assert all(r.score < 0 for r in got)
-    assert sum(r.score for r in got if not r.held_out) > sum(r.base_score for r in got if not r.held_out)
-    assert lm_score(spark.createDataFrame([], SCHEMA), F.lit(False), log_bits=16).count() == 0
+    plain = PlainModel([t for r, t in zip(rows, texts, strict=True) if not held(r[0])])
+    for u in ("<s>", "the", "w1", "w2", "nowhere"):
+        assert sum(plain.p(w, u) for w in [*plain.words, "nowhere"]) == pytest.approx(1)
+    want = sorted((-1 if r[0] is None else r[0], held(r[0]), len(t), sum(plain.words[w] > 0 for w in t), plain.n, sum(math.log10(plain.p1(w)) for w in t), sum(math.log10(plain.p(w, u)) for u, w in zip(["<s>", *t], t, strict=False))) for r, t in zip(rows, texts, strict=True))
+    # with and without joined words, and with the filter in one pass and, of 256 pairs a segment, in some
+    for head, most in ((1 << 19, 1 << 27), (50, 1 << 27), (0, 1 << 27), (50, 1 << 12)):
+        got = module.lm_score(frame(spark, rows), id_bucket("doc_id", 10) == 0, head=head, most_bytes=most).collect()
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got)
+        assert [r[:5] for r in got] == [r[:5] for r in want]
+        # the expected false answers of the filter are counted in the sums
+        assert [x for r in got for x in r[5:]] == pytest.approx([x for r in want for x in r[5:]], rel=1e-5)
+    assert module.lm_score(spark.createDataFrame([], SCHEMA), F.lit(False)).count() == 0
+    assert all(r.score == 0 for r in module.lm_score(frame(spark, rows[:3]), F.lit(True)).collect())
+
+
+def test_false_answers_are_rare_and_counted():
+    import numpy as np
+
+    from quillveil.llm import lm_score as module
+
+    rng = np.random.default_rng(0)
+    keys, counts = rng.integers(0, 1 << 62, 20_000).astype(np.uint64), rng.integers(2, 9, 20_000)
+    level, probes = module.level_of(counts, 2), 8
+    n_bits = -(-int(level.sum() * probes / np.log(2)) // 64) * 64
+    bits = np.zeros(n_bits, bool)
+    for q in range(1, level.max() + 1):
+        for p in module.places(keys[level >= q], q, np.uint64(n_bits), probes):
+            bits[p] = True
+    filt = module.LogFrequencies(0, np.array([n_bits]), np.packbits(bits, bitorder="little"), probes)
+    assert (filt.levels(keys, np.zeros(len(keys), np.int64)) >= level).all()
+    other = rng.integers(0, 1 << 62, 200_000).astype(np.uint64)
+    false = (filt.levels(other, np.zeros(len(other), np.int64)) > 0).mean()
+    assert 0.5**probes / 2 < false < 0.5**probes * 2
 
 
 def test_token_files(spark, tmp_path):
