@@ -11,7 +11,6 @@ values at once.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable
 
@@ -20,91 +19,159 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept_by_worker, scratch
+from .common import kept_by_worker, scratch, text_pieces
+from .words import mix64
 
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
-#: Pieces that a worker remembers, and the longest of them: some 300 MB at most.
-_CACHE, _LONGEST = 1_500_000, 64
-_ODD = re.compile(r" \s")
+#: Parts that a worker remembers; with their tokens some 100 MB at most.
+_CACHE = 3_000_000
+#: Bytes of the longest part that is known by its hash.
+_LONGEST = 256
 BLOCK = "shard int, block int, first long, ids array<long>, sizes array<int>, control binary, data binary"
 
 
-def units(text: str) -> list[str]:
-    """Pieces that byte-level BPE encodes alike alone and in the text: a piece starts at a space
-    before a character that is no white space."""
-    parts = text.split(" ")
-    if text[0] != " " and text[-1] != " " and not _ODD.search(text):
-        return [parts[0], *[" " + p for p in parts[1:]]]
-    out = [parts[0]]
-    for p in parts[1:]:
-        if p and not p[0].isspace():
-            out.append(" " + p)
-        else:
-            out[-1] += " " + p
-    return [u for u in out if u]
-
-
-def encode(batches, tokenizer_path: str, end_id: int, kind: str):
-    """(doc_id, text) to (doc_id, ids as ``kind``, little end first); each distinct piece is encoded
-    once while it stays in the worker's bounded cache."""
-    from tokenizers import Tokenizer
+def _bytes(chars) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[c if isinstance(c, int) else ord(c) for c in chars]] = True
+    return out
 
-    tok = Tokenizer.from_file(tokenizer_path)
-    tok.encode_special_tokens = True
-    spell = {c: b for b, c in _byte_letters().items()}
-    width = np.zeros(tok.get_vocab_size(), np.int64)
-    for token, i in tok.get_vocab().items():
-        width[i] = len(token) if all(c in spell for c in token) else 0
-    cache = kept_by_worker(f"{tokenizer_path} {kind}")
-    end = np.array([end_id], kind).tobytes()
-
-    def fill(own: dict[str, bytes], missing: list[str]) -> None:
-        """Pieces that start with a space encode alike in a row, with less overhead than alone."""
-        rows, alone = [], []
-        for u in missing:
-            (rows if u[0] == " " and not u.isspace() else alone).append(u)
-        own.update((u, np.array(e.ids, kind).tobytes()) for u, e in zip(alone, tok.encode_batch_fast(alone, add_special_tokens=False), strict=True))
-        for k in range(0, len(rows), 2048):
-            some = rows[k : k + 2048]
-            ids = np.array(tok.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, kind)
-            ends = (np.searchsorted(np.cumsum(width[ids]), np.cumsum([len(u.encode()) for u in some])) + 1) * ids.itemsize
-            raw, ends = ids.tobytes(), ends.tolist()
-            own.update(zip(some, [raw[s:e] for s, e in zip([0, *ends], ends, strict=False)], strict=True))
-
-    def learn(missing: list[str]) -> dict[str, bytes]:
-        """Ids of new pieces. Letters with punctuation or a line feed after them come apart, so that the
-        letters are encoded once."""
-        out, whole, split = {}, [], []
-        for u in missing:
-            body = u.rstrip(",.;:!?")
-            cut = len(body) if body != u and body[-1:].isalpha() else 0
-            (split if cut else whole).append((u, cut) if cut else u)
-        parts = {u[:cut] for u, cut in split} | {u[cut:] for u, cut in split} | set(whole)
-        own = {u: c for u in parts if (c := cache.get(u)) is not None}
-        fill(own, [u for u in parts if u not in own])
-        cache.update((u, c) for u, c in own.items() if len(u) <= _LONGEST)
-        out.update((u, own[u]) for u in whole)
-        out.update((u, own[u[:cut]] + own[u[cut:]]) for u, cut in split)
-        cache.update((u, c) for u, c in out.items() if len(u) <= _LONGEST)
-        return out
 
+_SPACE = _bytes([*range(0x09, 0x0E), 0x20])
+_LETTER = _bytes([*range(65, 91), *range(97, 123)])
+_MARK = _bytes([c for c in range(0x21, 0x7F) if not chr(c).isalnum()])
+_SOLID = _bytes(range(0x21, 0x7F))
+#: Bytes that may begin a character of white space.
+_OPEN = _SPACE | _bytes([*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3])
+
+
+def part_starts(buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where parts begin that byte-level BPE encodes alike alone and in the text: at each text, at a space
+    before a character that is no white space, at white space after a visible ASCII character, and at a
+    mark after an ASCII letter."""
+    n = len(buf)
+    cut = np.zeros(n + 1, bool)
+    if n:
+        cut[: n - 1] = (buf[:-1] == 0x20) & ~_OPEN[buf[1:]]
+        cut[1:n] |= (_SOLID[buf[:-1]] & _SPACE[buf[1:]] & (buf[1:] != 0x20)) | (_LETTER[buf[:-1]] & _MARK[buf[1:]])
+    cut[bounds] = True
+    return np.flatnonzero(cut[:n])
+
+
+class Encoder:
+    """Token ids of texts; each distinct part is encoded once while it stays in the worker's memory."""
+
+    def __init__(self, tokenizer_path: str, kind: str, special_as_text: bool):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(tokenizer_path)
+        self.tok.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.kind = np.dtype(kind)
+        self.width = np.zeros(self.tok.get_vocab_size(), np.int64)  # a letter of the vocabulary stands for a byte
+        for token, i in self.tok.get_vocab().items():
+            self.width[i] = len(token)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        n = np.array([*map(len, got)], np.int64)
+        return np.fromiter((i for ids in got for i in ids), self.kind, int(n.sum())), n
+
+    def parts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts. In a row they cost less than alone; a part that can't follow any other follows " a"."""
+        free = [len(t) > 1 and t[0] == 0x20 and not _OPEN[t[1]] for t in texts]
+        tied = [not f and (_SPACE[t[0]] and t[0] != 0x20 or bool(_MARK[t[0]])) for f, t in zip(free, texts, strict=True)]
+        out = [np.zeros(0, self.kind)] * len(texts)
+        alone = [k for k in range(len(texts)) if not free[k] and not tied[k]]
+        rows = [k for k in range(len(texts)) if free[k] or tied[k]]
+        for s in range(0, len(rows), 2048):
+            own, row = rows[s : s + 2048], []
+            for k in own:
+                row += [texts[k]] if free[k] else [b" a", texts[k]]
+            ids = np.array(self.tok.encode_batch_fast([b"".join(row).decode()], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([*map(len, row)])) + 1
+            last = np.cumsum([1 if free[k] else 2 for k in own]) - 1
+            for k, a, b in zip(own, np.where(last > 0, ends[last - 1], 0).tolist(), ends[last].tolist(), strict=True):
+                out[k] = ids[a:b]
+        if alone:
+            flat, own = self.alone([texts[k].decode() for k in alone])
+            for k, a in zip(alone, np.split(flat, np.cumsum(own)[:-1]), strict=True):
+                out[k] = a
+        return np.concatenate(out), np.array([*map(len, out)], np.int64)
+
+    def keep(self, flat: np.ndarray) -> int:
+        """Add ids to the pool; where they begin."""
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        return self.used - len(flat)
+
+    def encode(self, buf: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id, and where each text's ids begin."""
+        raw = buf.tobytes()
+        if len(self.keys) > _CACHE:
+            self.clear()
+        starts = part_starts(buf, bounds)
+        whole = any(t in raw for t in self.special)
+        if whole:  # such a text isn't cut: white space before a special token is its own part
+            starts = np.unique(bounds[:-1][np.diff(bounds) > 0])
+        ends = np.append(starts[1:], len(raw))
+        hashes = part_hashes(buf, starts, ends)
+        far = (ends - starts > _LONGEST) | whole
+        u, first, back = np.unique(hashes[~far], return_index=True, return_inverse=True)
+        first = np.flatnonzero(~far)[first]
+        place = np.minimum(np.searchsorted(self.keys, u), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[place] != u) if len(self.keys) else np.arange(len(u))
+        if len(new):
+            flat, n = self.parts([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            at = self.keep(flat) + np.cumsum(n) - n
+            into = np.searchsorted(self.keys, u[new])
+            self.keys, self.at, self.n = np.insert(self.keys, into, u[new]), np.insert(self.at, into, at), np.insert(self.n, into, n)
+            place = np.searchsorted(self.keys, u)
+        at, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        at[~far], n[~far] = self.at[place][back], self.n[place][back]
+        used = self.used
+        if far.any():
+            flat, own = self.alone([raw[starts[k] : ends[k]].decode() for k in np.flatnonzero(far)])
+            at[far], n[far] = self.keep(flat) + np.cumsum(own) - own, own
+        parts = np.searchsorted(starts, bounds)  # an end stands after each text's parts
+        at, n = np.insert(at, parts[1:], self.keep(np.array([end_id]))), np.insert(n, parts[1:], 1)
+        before = np.cumsum(n) - n
+        out = self.pool[np.repeat(at - before, n) + np.arange(int(n.sum()))]
+        self.used = used
+        return out, np.append(before, len(out))[parts + np.arange(len(parts))]
+
+
+def part_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the parts' bytes; of no use for parts of more than _LONGEST bytes."""
+    h, size = np.zeros(len(starts), np.uint64), ends - starts
+    short = np.flatnonzero(size <= _LONGEST)
+    order = short[np.argsort(size[short], kind="stable")]
+    low = np.searchsorted(size[order], np.arange(1, int(size[order[-1]]) + 1 if len(order) else 1))
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    for k, at in enumerate(low):
+        own = order[at:]
+        h[own] = (h[own] ^ padded[starts[own] + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h[own] ^= h[own] >> np.uint64(29)
+    return mix64(h + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def encode(batches, tokenizer_path: str, end_id: int, kind: str, special_as_text: bool = False):
+    """(doc_id, text) to (doc_id, ids as ``kind``, little end first)."""
+    kept = kept_by_worker(f"{tokenizer_path} {kind} {special_as_text}")
+    if "encoder" not in kept:
+        kept["encoder"] = Encoder(tokenizer_path, kind, special_as_text)
     for b in batches:
-        for start in range(0, b.num_rows, 128):
-            docs = [units(t) if t else [] for t in b.column(1).slice(start, 128).to_pylist()]
-            if len(cache) > _CACHE:
-                cache.clear()
-            got = [[*map(cache.get, d)] for d in docs]
-            new = learn(list({u for d, g in zip(docs, got, strict=True) if None in g for u, x in zip(d, g, strict=True) if x is None}))
-            blobs = [b"".join([new[u] if x is None else x for u, x in zip(d, g, strict=True)] + [end] if None in g else [*g, end]) for d, g in zip(docs, got, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(start, 128), pa.array(blobs, pa.binary())], names=["doc_id", "tokens"])
-
-
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself,
-    the others in order from U+0100."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [x for x in range(256) if x not in own]
-    return {x: chr(x) for x in own} | {x: chr(256 + k) for k, x in enumerate(rest)}
+        for i, j, buf, bounds in text_pieces(b.column(1), 1 << 20):
+            ids, at = kept["encoder"].encode(buf, bounds, end_id)
+            offsets = pa.py_buffer((at * ids.itemsize).astype(np.int32).tobytes())
+            blobs = pa.Array.from_buffers(pa.binary(), j - i, [None, offsets, pa.py_buffer(ids.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), blobs], names=["doc_id", "tokens"])
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -130,19 +197,20 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, block_ids: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, block_ids: int = 1 << 16, special_as_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenize whole texts and write a file set at ``path``, documents in ascending id order.
 
     Nulls are empty texts; every document ends with ``end_id``. Equal ids are ordered by their
     tokens; a null id comes first. Other columns are not read. A block closes once it has
-    ``block_ids`` ids; a document is never split.
+    ``block_ids`` ids; a document is never split. Strings of special tokens in a text become these
+    tokens, or with ``special_as_text`` ordinary text.
     """
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     kind = "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-    coded = scratch(source.mapInArrow(lambda it: encode(it, tokenizer_path, end_id, kind), "doc_id long, tokens binary"), "tokens")
+    coded = scratch(source.mapInArrow(lambda it: encode(it, tokenizer_path, end_id, kind, special_as_text), "doc_id long, tokens binary"), "tokens")
 
     def count(batches):
         total: np.ndarray = np.zeros(1 << 16, np.int64)

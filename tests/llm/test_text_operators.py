@@ -187,8 +187,7 @@ def test_token_files(spark, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    rows = documents() + [(300, "a\n \nb  c   d\t e  f 　g's ...,x, y.\n z ", "en", "a"), (301, " lead", "en", "a"), (302, "trail  ", "en", "a")]
+    rows = documents() + [(300, "a\n \nb  c   d\t e  f 　g's ...,x, y.\n z ", "en", "a"), (301, " lead", "en", "a"), (302, "trail  ", "en", "a"), (303, "a  <|endoftext|>  b c<|endoftext|>d\n", "en", "a"), (304, "x" * 5000 + " \u3000\u00a0 y\u2028,z  don't 'tis \x1d q …, w", "en", "a")]
     coded = [(r[0], [*tok.encode(r[1] or "", add_special_tokens=False).ids, 2]) for r in rows]
     write_token_files(frame(spark, rows), str(tmp_path / "a"), path, block_ids=500)
     got = read_token_files(spark, str(tmp_path / "a"), crc_of_ids, "crc").collect()
@@ -204,6 +203,27 @@ def test_token_files(spark, tmp_path):
     assert read_token_files(spark, str(tmp_path / "b"), crc_of_ids, "crc").count() == 0
 
 
+def test_parts_encode_alike_alone():
+    import random
+
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from quillveil.llm.token_files import encode
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng, letters = random.Random(4), [*"ab'sd tT9\n\t  ,.!-_…é«»", "\u00a0", "\u3000", "\u2009", "\x1c", "\x85", " the", "\r\n", "<|endoftext|>", "漢", "😀"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)] + [None, ""]
+    for special in (False, True):
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = special
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+        got = [t for b in encode([batch, batch], path, 2, "<u2", special) for t in b.column(1).to_pylist()]
+        want = [struct.pack(f"<{len(e.ids) + 1}H", *e.ids, 2) for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert got == want * 2
+
+
 def test_byte_coding_round_trip():
     import numpy as np
 
