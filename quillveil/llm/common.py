@@ -18,9 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where the session names none."""
+    """The folder that driver and executors share; a local session may go without one and gets its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
@@ -34,6 +36,20 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str = "_row") -> tuple[DataFrame, str]:
+    """``df`` with a column of its own that tells all rows apart, in a written table, and its name."""
+    while name in df.columns:
+        name += "_"
+    return scratch(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
+def only(df: DataFrame, keys: DataFrame, key: str, kind: str = "left_semi", most: int = 2_000_000) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in the written table ``keys``, or with left_anti is not. Up to
+    ``most`` keys are broadcast; more shuffle with the rows."""
+    keys = keys.select(key)
+    return df.join(F.broadcast(keys) if keys.count() <= most else keys, key, kind)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -300,7 +300,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, sample: int =
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = placed.select("v", "node", "head", "copies").join(counts, "node", "left").join(roots, "node", "left").select("v", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     named = scratch(named, "named")
-    heads = named.groupBy("root").agg(F.min("head").alias("component_id"))
+    heads = scratch(named.groupBy("root").agg(F.min("head").alias("component_id")), "heads")
     named = named.join(heads, "root").select("v", "n_links", "component_id")
     linked = rows.where("v is not null").join(named, "v").select("id", "n_links", "component_id")
     alone = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

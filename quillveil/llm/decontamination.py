@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import numbered, only, scratch
 
 #: Positions that count in each mask over four words.
 MASKS = ((0, 1, 3), (0, 2, 3))
@@ -21,6 +21,7 @@ SEEDS = ((0, 1, 2), *MASKS)
 #: Numbers of words of which 60% can agree without such a seed, and the masks that find these.
 UNSURE = (1, 2, 3, 5, 6, 10)
 SHORT = ((0,), (0, 1), (0, 2))
+_CHUNK = 512
 
 
 def words(text: Column) -> Column:
@@ -28,43 +29,50 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
-def seeds(masks: tuple = MASKS) -> Column:
-    """All masked hashes of the column ``words``: structs of position and hash."""
+def seeds(texts: DataFrame, masks: tuple, *carry: str) -> DataFrame:
+    """All masked hashes of the column ``words``: rows of the columns ``carry``, pos and h.
 
-    def of(hashes: Column, mask: tuple) -> Column:
-        last = F.size(hashes) - 1 - max(mask)
-        at = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(str(mask)), *[F.get(hashes, i + k) for k in mask]).alias("h")))
-        return F.filter(at, lambda _: last >= 0)
-
-    # each word is hashed once; the list of one element binds the hashes to a name
-    return F.flatten(F.transform(F.array(F.transform("words", lambda w: F.xxhash64(w))), lambda hashes: F.concat(*[of(hashes, mask) for mask in masks])))
+    Words are hashed once; long texts go on in overlapping chunks of bounded size.
+    """
+    reach = max(map(max, masks)) + 1
+    cut = lambda hs: F.transform(F.sequence(F.lit(0), F.greatest(F.size(hs) - 1, F.lit(0)), F.lit(_CHUNK)), lambda s: F.struct(s.alias("base"), F.slice(hs, s + 1, F.lit(_CHUNK + reach - 1)).alias("hs")))
+    # the list of one element binds the hashes to a name
+    chunks = F.flatten(F.transform(F.array(F.transform("words", lambda w: F.xxhash64(w))), cut))
+    rows = texts.select(*carry, F.explode(chunks).alias("c")).select(*carry, "c.base", F.arrays_zip(*[F.slice("c.hs", k + 1, _CHUNK + reach).alias(f"h{k}") for k in range(reach)]).alias("runs"))
+    rows = rows.select(*carry, "base", F.posexplode("runs").alias("pos", "run")).where(F.col("pos") < _CHUNK)
+    key = lambda mask: F.when(F.col(f"run.h{max(mask)}").isNotNull(), F.xxhash64(F.lit(str(mask)), *[F.col(f"run.h{k}") for k in mask]))
+    return rows.select(*carry, (F.col("base") + F.col("pos")).alias("pos"), F.explode(F.array(*map(key, masks))).alias("h")).where("h is not null")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple = SEEDS, window: int = 13, least: int = 10, share: float = 0.6, broadcast_rows: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple = SEEDS, window: int = 13, least: int = 10, share: float = 0.6, broadcast_rows: int = 2_000_000, unique: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents that hold benchmark passages (item_id, text), one row per document and item.
 
     Along an alignment, a passage counts as held if ``least`` of some ``window`` consecutive words agree,
     or ``share`` of all its words. Words are lower-cased; null texts have no words. Rows that share an id
     are reported once; a null id is kept as null. No such passage is missed with the default masks and
     the default or stricter values of ``window``, ``least`` and ``share``; items of few words (UNSURE)
-    are also sought by SHORT masks, on both sides only if there are such items.
+    are also sought by SHORT masks, on both sides only if there are such items. ``unique`` says that no
+    id repeats or is null, which saves a copy of the rows.
 
     Returns ``id_col``, item_id, n_matched (words that agree), n_words (of the item), best_window,
     at (the document's word where the item would begin). The benchmark's seeds are broadcast if they
     are at most ``broadcast_rows``, else the hashes shuffle.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source, row = (source.withColumn("_row", F.col("doc_id")), "_row") if unique else numbered(source)
     items = benchmark.select("item_id", words(F.col("text")).alias("words"))
     few = F.size("words").isin(*UNSURE)
-    every = (*masks, *SHORT) if not items.where(few).isEmpty() else masks
-    own = F.when(few, seeds((*masks, *SHORT))).otherwise(seeds(masks))
-    keys = scratch(items.select("item_id", F.explode(own).alias("s")).select("item_id", F.col("s.h").alias("h"), F.col("s.pos").alias("item_pos")), "seeds")
+    short = not items.where(few).isEmpty()
+    own = seeds(items, masks, "item_id")
+    if short:
+        own = own.union(seeds(items.where(few), SHORT, "item_id"))
+    keys = scratch(own.withColumnRenamed("pos", "item_pos"), "seeds")
     small = keys.count() <= broadcast_rows
-    found = source.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", F.explode(seeds(every)).alias("s")).select("doc_id", F.col("s.h").alias("h"), F.col("s.pos").alias("pos"))
+    found = seeds(source.select(row, words(F.col("text")).alias("words")), (*masks, *SHORT) if short else masks, row)
     hits = found.join(F.broadcast(keys) if small else keys, "h")
-    hits = scratch(hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("at")).agg(F.count("*").alias("n_seeds")), "hits")
-    pairs = hits.join(items.withColumnRenamed("words", "item"), "item_id").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("item_id", "at", "item")).alias("hits"))
-    both = source.join(pairs, F.col("doc_id").eqNullSafe(F.col("id")))
+    hits = scratch(hits.groupBy(row, "item_id", (F.col("pos") - F.col("item_pos")).alias("at")).agg(F.count("*").alias("n_seeds")), "hits")
+    pairs = hits.join(items.withColumnRenamed("words", "item"), "item_id").groupBy(row).agg(F.collect_list(F.struct("item_id", "at", "item")).alias("hits"))
+    both = only(source, scratch(hits.select(row).distinct(), "hit"), row, most=broadcast_rows).join(pairs, row)
 
     def same(ws: Column, x: Column) -> Column:
         return F.transform(x["item"], lambda w, k: F.when((x["at"] + k >= 0) & (w == F.get(ws, F.greatest(x["at"] + k, F.lit(0)))), 1).otherwise(0))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, scratch
 
+_ROWS = 1 << 16
 _UNIT = "struct<size:bigint,h:bigint,id:bigint>"
 
 
@@ -59,19 +60,21 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
 
     A row's size is its number of words ``[^\\x20\\x09-\\x0D]+`` (null: 0); see ``targets`` for the sources'
     targets. A null source is a source of its own. Rows of a source without words are not taken. All
-    choices hash the ids and sizes, so reruns agree; repeated rows are units of their own and
-    exchangeable. Other columns are not read.
+    choices hash the ids and sizes, so reruns agree. Repeated rows (same id, source and size) are
+    exchangeable: together they get their expected copies, rounded as those of one unit. Other columns are not read.
 
     Returns one row per input row: ``id_col``, source, size, source_size (long), target (double), copies,
     taken (long, copies * size). ``copies`` differs from target / source_size by less than 1.
     """
     sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = scratch(sized, "sized")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    # equal rows are one unit, however many they are
+    sized = scratch(sized.groupBy("id", "source", "size").agg(F.count("*").alias("times")), "sized")
+    sources = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("source_size"), F.count("*").alias("n"))
     goals = targets(sources.select("source", "source_size"), share, most, weights).withColumnRenamed("source", "s")
     plan = scratch(sources.select("source", "n").join(goals, F.col("source").eqNullSafe(F.col("s"))).select("source", "n", "source_size", "target"), "targets")
-    plan = plan.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("whole", F.floor(F.col("rate") + 1e-9)).withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
+    plan = plan.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("whole", F.floor(F.col("rate") + 1e-9))
     rows = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn("h", F.xxhash64("id", "size", "source"))
+    rows = rows.withColumn("due", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)) * F.col("times")).withColumn("sure", F.floor(F.col("due") + 1e-9)).withColumn("p", F.greatest(F.col("due") - F.col("sure"), F.lit(0.0)))
     drawn = lambda h, p: F.when(F.pmod(F.xxhash64(h, F.lit(0)), F.lit(1000000007)) < p * 1000000007, 1).otherwise(0)
     certain = rows.where("p < 1e-9 or size = 0").select("id", "source", "size", F.when(F.col("p") < 1e-9, 0).otherwise(drawn(F.col("h"), F.col("p"))).alias("copy"))
     unit = F.struct("size", "h", "id")
@@ -91,6 +94,11 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     last = left.select("x.u.id", "source", "x.u.size", F.when(F.col("x.p") >= 0.5, 1).otherwise(0).alias("copy"))  # one unit of a source
     for part in [*settled, last]:
         certain = certain.union(part)
-    out = certain.join(plan.select(F.col("source").alias("s"), "source_size", "target", "whole"), F.col("source").eqNullSafe(F.col("s")))
-    copies = (F.col("whole") + F.col("copy")).cast("long")
+    key = lambda side: F.struct(*[F.coalesce(F.col(f"{side}.{c}"), F.lit(z)) for c, z in (("id", 0), ("source", ""), ("size", 0))], F.col(f"{side}.id").isNull(), F.col(f"{side}.source").isNull())
+    both = rows.alias("a").join(certain.alias("b"), key("a") == key("b")).select("a.id", "a.source", "a.size", "a.times", "a.sure", "a.whole", "a.source_size", "a.target", "b.copy")
+    # rows of a large group are made in many tasks
+    parts = both.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / _ROWS))))
+    parts = parts.where(f"times <= {_ROWS}").union(parts.where(f"times > {_ROWS}").repartition("id", "part"))
+    out = parts.withColumn("nth", F.explode(F.sequence(F.col("part") * _ROWS + 1, F.least(F.col("times"), (F.col("part") + 1) * _ROWS))))
+    copies = (F.col("whole") + F.when(F.col("nth") <= F.col("sure") + F.col("copy"), 1).otherwise(0)).cast("long")
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
