@@ -1,18 +1,18 @@
 """A corpus pipeline: language ID, near duplicates, decontamination, mixing, token files.
 
 Each stage takes (spark, docs, sf_dir) and gets all rows that the stage before kept, as Parquet. All
-but the last return the columns of ``documents``. Rows that share an id stand or fall together in the
-near-duplicate and decontamination stages; a null id is an id like others.
+but the last return the columns of ``documents``, whatever they are called, with their values. Rows are
+judged one by one; ids may repeat or be null. An empty table passes through.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillveil.llm.common import id_bucket, shared_dir, table
+from quillveil.llm.common import id_bucket, numbered, only, scratch, shared_dir, table
 from quillveil.llm.decontamination import overlaps
 from quillveil.llm.language_id import fit, identify
 from quillveil.llm.mixing import mix
@@ -21,33 +21,51 @@ from quillveil.llm.queries import token_rows
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the rows whose language is rejected: no letter, or a narrow margin."""
-    found = identify(docs, fit(docs, F.coalesce(id_bucket("doc_id", 4) != 2, F.lit(False))), min_margin=0.001)
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    """Drop the rows whose language is rejected.
+
+    These are null and empty texts, texts without a letter, and texts with a narrow margin. Whole texts
+    count, however long. Repeated rows fare alike; with nothing learnt all rows go.
+    """
+    names = ("_stage_lang", "_stage_score", "_stage_rejected")
+    found = identify(docs, fit(docs, F.coalesce(id_bucket("doc_id", 4) != 2, F.lit(False))), names=names)
+    return found.where(~F.col(names[2])).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of five-word shingle sets with a similarity of 0.8 or more."""
-    kept = ngram_groups(docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """Keep one row of each group of five-word shingle sets with a similarity of 0.8 or more.
+
+    Rows count one by one, whatever their ids: exact copies go but for one, and null ids are no tie. Texts
+    without words, null or empty, are no copies of each other.
+    """
+    rows, row = numbered(docs)
+    dropped = scratch(ngram_groups(rows, size=5, percent=80, id_col=row).where("not kept").select(row), "dropped")
+    return only(rows, dropped, row, "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a benchmark passage."""
-    hit = overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit_id")), "left_anti")
+    """Drop the rows that hold a benchmark passage; other rows with their ids stay, and so do texts without words."""
+    rows, row = numbered(docs)
+    hit = scratch(overlaps(rows, table(spark, sf_dir, "benchmark"), id_col=row, unique=True).select(row).distinct(), "dropped")
+    return only(rows, hit, row, "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out rows as the mix takes them."""
-    same = Window.partitionBy("doc_id", "source").orderBy(F.length("text"), "text")
-    picked = mix(docs).select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("copies").alias("_copies"), F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("size", "copies")).alias("_mix_nth"))
-    both = docs.withColumn("_nth", F.row_number().over(same)).join(picked, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_nth") == F.col("_mix_nth")))
-    return both.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Repeat or leave out rows as the mix takes them.
+
+    Rows are drawn one by one, whatever their ids; rows without words are drawn at their source's rate.
+    """
+    rows, row = numbered(docs)
+    picked = scratch(mix(rows, id_col=row).where("copies > 0").select(row, F.col("copies").alias("_copies")), "picked")
+    both = rows.select(row, F.struct(*docs.columns).alias("_doc")).join(picked, row)
+    return both.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_doc.*")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the token files and return what reading them back gives for each document."""
+    """Write the token files and return what reading them back gives for each row.
+
+    A null or empty text is the end id alone; rows are in the order of ids, nulls first, equal ids in that
+    of their tokens. Other columns are not read.
+    """
     return token_rows(docs)
 
 
