@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Paths of the scratch tables of this driver that no one has removed.
+written: list[str] = []
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns as a scratch table; those that it wrote on the way are removed."""
+    mark = len(written)
+    out = scratch(make(), name)
+    removed(out.sparkSession, mark, -1)
+    return out
+
+
+def removed(spark: SparkSession, since: int, until: int | None = None) -> None:
+    """Remove scratch tables by their places in ``written``."""
+    for path in written[since:until]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del written[since:until]
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,7 +28,7 @@ def token_rows(docs: DataFrame) -> DataFrame:
 
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/token-files-{uuid.uuid4().hex}"
-    write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"))  # tables written on the way are gone
     return read_token_files(spark, path, crc_of_ids, "ids_crc32")
 
 

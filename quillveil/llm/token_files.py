@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept_by_worker, scratch, text_pieces
+from .common import kept_by_worker, removed, scratch, text_pieces, written
 from .words import mix64
 
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
@@ -210,6 +210,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     kind = "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    coded_at = len(written)
     coded = scratch(source.mapInArrow(lambda it: encode(it, tokenizer_path, end_id, kind, special_as_text), "doc_id long, tokens binary"), "tokens")
 
     def count(batches):
@@ -262,6 +263,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = coded.withColumn("tie", F.xxhash64("tokens")).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "tokens")
     ordered.select("doc_id", "tokens").mapInArrow(blocks, BLOCK).write.parquet(f"{path}/blocks")
+    rank_of.destroy()
+    removed(spark, coded_at)
 
 
 def read_token_files(spark: SparkSession, path: str, digest: Callable[[np.ndarray], int], name: str) -> DataFrame:
