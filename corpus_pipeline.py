@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillveil.llm.common import id_bucket, numbered, only, scratch, shared_dir, table
+from quillveil.llm.common import id_bucket, numbered, only, settled, shared_dir, table
 from quillveil.llm.decontamination import overlaps
 from quillveil.llm.language_id import fit, identify
 from quillveil.llm.mixing import mix
@@ -38,14 +38,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     without words, null or empty, are no copies of each other.
     """
     rows, row = numbered(docs)
-    dropped = scratch(ngram_groups(rows, size=5, percent=80, id_col=row).where("not kept").select(row), "dropped")
+    dropped = settled(lambda: ngram_groups(rows, size=5, percent=80, id_col=row).where("not kept").select(row), "dropped")
     return only(rows, dropped, row, "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the rows that hold a benchmark passage; other rows with their ids stay, and so do texts without words."""
     rows, row = numbered(docs)
-    hit = scratch(overlaps(rows, table(spark, sf_dir, "benchmark"), id_col=row, unique=True).select(row).distinct(), "dropped")
+    hit = settled(lambda: overlaps(rows, table(spark, sf_dir, "benchmark"), id_col=row, unique=True).select(row).distinct(), "dropped")
     return only(rows, hit, row, "left_anti").select(*docs.columns)
 
 
@@ -55,7 +55,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are drawn one by one, whatever their ids; rows without words are drawn at their source's rate.
     """
     rows, row = numbered(docs)
-    picked = scratch(mix(rows, id_col=row).where("copies > 0").select(row, F.col("copies").alias("_copies")), "picked")
+    picked = settled(lambda: mix(rows, id_col=row).where("copies > 0").select(row, F.col("copies").alias("_copies")), "picked")
     both = rows.select(row, F.struct(*docs.columns).alias("_doc")).join(picked, row)
     return both.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_doc.*")
 
