@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -16,6 +16,32 @@ ORACLES: dict[str, str] = {}
 _TOK = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_\[\]-]+')"
 
 
+#: All runs of one to three tokens.
+_GRAMS = "unnest(flatten(list_transform([" + _TOK + "], lambda w: list_concat(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])), list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))))"
+
+
+def grams(text) -> Column:
+    # the list of one element makes the tokens once, not for every run
+    return F.flatten(F.transform(F.array(X.tokens(text, X.PORTABLE)), lambda w: X.word_ngrams_upto(w, 3)))
+
+
+def passages_held(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id) where a document's text holds a passage's text.
+
+    A passage's second to fifth word stand whole in each text that holds it; their hash finds the few
+    pairs whose texts are compared. Passages of fewer than six words are sought in all texts.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    four = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(4)])
+    items = items.select("item_id", F.col("text").alias("passage")).withColumn("w", words(F.col("passage")))
+    long = items.where(F.size("w") >= 6).select("item_id", "passage", four(F.col("w"), F.lit(1)).alias("h"))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), lambda i: four(F.col("w"), i))
+    found = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(runs)).alias("h")).join(long.select("item_id", "h"), "h").select("item_id", "doc_id").distinct()
+    pairs = found.join(docs.select("doc_id", "text"), "doc_id").join(long.drop("h"), "item_id")
+    short = docs.select("doc_id", "text").join(items.where(F.size("w") < 6).drop("w"), F.contains("text", "passage"))
+    return pairs.where(F.contains("text", "passage")).select("item_id", "doc_id").union(short.select("item_id", "doc_id"))
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -54,46 +80,47 @@ def char_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.explode(grams).alias("g")).select("g.n", F.explode("g.grams").alias("gram")).groupBy("n", "gram").agg(F.count("*").alias("occurrences")).where("occurrences >= 100")
 
 
-_TFIDF = f"""
-WITH tc AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY 1, 2),
-m AS (SELECT term, ln((1 + n) / (1.0 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df FROM tc GROUP BY 1), (SELECT count(*) AS n FROM documents) WHERE df <= 0.65 * n),
+def _tfidf(max_df: float) -> str:
+    return f"""
+WITH tc AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_GRAMS.format('text')} AS term FROM documents) GROUP BY 1, 2),
+m AS (SELECT term, ln((1 + n) / (1.0 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df FROM tc GROUP BY 1), (SELECT count(*) AS n FROM documents) WHERE df <= {max_df} * n),
 r AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tc JOIN m USING (term)),
 w AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM r),
-qc AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_TOK.format('text')}) AS term FROM benchmark) GROUP BY 1, 2),
+qc AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, {_GRAMS.format('text')} AS term FROM benchmark) GROUP BY 1, 2),
 qr AS (SELECT item_id, term, (1 + ln(tf)) * idf AS w FROM qc JOIN m USING (term)),
 q AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM qr),
 s AS (SELECT item_id, doc_id, sum(q.w * w.w) AS score FROM q JOIN w USING (term) GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)"""
 
 
-def _weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _weights(spark: SparkSession, sf_dir: str, max_df: float) -> tuple[DataFrame, DataFrame]:
     docs = read(spark, sf_dir, "documents")
-    terms = X.tokens(F.col("text"), X.PORTABLE)
+    terms = grams(F.col("text"))
     counts = I.term_counts(docs, ["doc_id"], terms)
-    model = I.fit(counts, docs.agg(F.count("*").alias("n")), [], max_df=0.65)
+    model = I.fit(counts, docs.agg(F.count("*").alias("n")), [], max_df=max_df)
     queries = I.term_counts(read(spark, sf_dir, "benchmark"), ["item_id"], terms)
     return I.weigh(counts, model, [], ["doc_id"]), I.weigh(queries, model, [], ["item_id"])
 
 
-def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, queries = _weights(spark, sf_dir)
+def _ranks(spark: SparkSession, sf_dir: str, max_df: float) -> DataFrame:
+    docs, queries = _weights(spark, sf_dir, max_df)
     scored = I.scores(queries, docs, [], ["item_id"], ["doc_id"])
     return I.ranked(scored, ["item_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")])
 
 
-@query(_TFIDF + """
+@query(_tfidf(0.65) + """
 SELECT doc_id, term, round(w, 6) AS weight, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS rank FROM w) WHERE rank <= 5""")
 def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _ = _weights(spark, sf_dir)
+    docs, _ = _weights(spark, sf_dir, 0.65)
     return I.ranked(docs, ["doc_id"], [F.desc(F.round("w", 9)), F.asc("term")]).where("rank <= 5").select("doc_id", "term", F.round("w", 6).alias("weight"), "rank")
 
 
-@query(_TFIDF + " SELECT item_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM k WHERE rank <= 5")
+@query(_tfidf(0.65) + " SELECT item_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM k WHERE rank <= 5")
 def tfidf_topk_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranks(spark, sf_dir).where("rank <= 5").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return _ranks(spark, sf_dir, 0.65).where("rank <= 5").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(_TFIDF + """,
+@query(_tfidf(0.9) + """,
 t AS (SELECT k.*, contains(d.text, b.text) AS rel FROM k JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)),
 p AS (SELECT item_id, max((rel AND rank <= 1)::INT) AS h1, max((rel AND rank <= 5)::INT) AS h5, max((rel AND rank <= 10)::INT) AS h10,
       sum((rel AND rank <= 10)::INT) AS f10, sum(rel::INT) AS total, min(rank) FILTER (WHERE rel) AS first_rank FROM t GROUP BY 1)
@@ -101,10 +128,9 @@ SELECT count(*) AS n_queries, round(avg(h1), 6) AS hit_at_1, round(avg(h5), 6) A
        round(avg((f10 >= 2)::INT), 6) AS multi_at_10, round(avg(f10 / total), 6) AS recall_at_10, round(avg(1.0 / first_rank), 6) AS mrr
 FROM p WHERE total > 0""")
 def retrieval_hit_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # what is relevant is known from a substring scan; only these few pairs join the ranks
-    docs, items = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    relevant = docs.join(items, F.contains("text", "passage")).select("item_id", "doc_id", F.lit(True).alias("relevant"))
-    ranks = _ranks(spark, sf_dir).select("item_id", "doc_id", "rank").join(relevant, ["item_id", "doc_id"], "left").fillna({"relevant": False})
+    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    relevant = passages_held(docs, items).withColumn("relevant", F.lit(True))
+    ranks = _ranks(spark, sf_dir, 0.9).select("item_id", "doc_id", "rank").join(relevant, ["item_id", "doc_id"], "left").fillna({"relevant": False})
     m = I.retrieval_metrics(ranks, ["item_id"]).where("first_rank is not null")
     names = {"hit_at_1": "hit_at_1", "hit_at_5": "hit_at_5", "hit_at_10": "hit_at_10", "multi_at_10": "multi_at_10", "recall_at_10": "recall_at_10", "reciprocal_rank": "mrr"}
     return m.agg(F.count("*").alias("n_queries"), *[F.round(F.avg(a), 6).alias(b) for a, b in names.items()])
@@ -115,7 +141,7 @@ WITH c AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) FILTER (WHERE tur
            row_number() OVER (ORDER BY conv_id) - 1 AS pos, count(*) OVER () AS total FROM conversations GROUP BY conv_id),
 g AS (SELECT a.conv_id AS q, b.conv_id AS cand, o.o AS slot, b.profile AS text FROM c a, (SELECT unnest(range(0, 10)) AS o) o JOIN c b ON b.pos = (a.pos + o.o * 7) % a.total
       UNION ALL SELECT conv_id, NULL, -1, body FROM c),
-tc AS (SELECT q, slot, term, count(*) AS tf FROM (SELECT q, slot, unnest({_TOK.format("coalesce(text, '')")}) AS term FROM g) GROUP BY 1, 2, 3),
+tc AS (SELECT q, slot, term, count(*) AS tf FROM (SELECT q, slot, {_GRAMS.format("coalesce(text, '')")} AS term FROM g) GROUP BY 1, 2, 3),
 df AS (SELECT q, term, count(*) AS df FROM tc GROUP BY 1, 2),
 m AS (SELECT q, term, ln((1 + 11) / (1.0 + df)) + 1 AS idf FROM df WHERE df <= 0.9 * 11),
 r AS (SELECT q, slot, term, (1 + ln(tf)) * idf AS w FROM tc JOIN m USING (q, term)),
@@ -135,7 +161,7 @@ def per_group_aux_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = place.select(F.col("conv_id").alias("q"), "pos", "total", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("slot")).withColumn("pos", (F.col("pos") + F.col("slot") * 7) % F.col("total"))
     cands = slots.drop("total").join(place.select("pos", F.col("conv_id").alias("cand")), "pos").join(convs.select(F.col("conv_id").alias("cand"), F.col("profile").alias("text")), "cand")
     texts = cands.select("q", "slot", "text").union(convs.select("conv_id", F.lit(-1), "body"))
-    counts = I.term_counts(texts, ["q", "slot"], X.tokens(F.coalesce("text", F.lit("")), X.PORTABLE))
+    counts = I.term_counts(texts, ["q", "slot"], grams(F.coalesce("text", F.lit(""))))
     model = I.fit(counts, place.select(F.col("conv_id").alias("q"), F.lit(11).alias("n")), ["q"], max_df=0.9)
     w = I.weigh(counts, model, ["q"], ["q", "slot"])
     scored = I.scores(w.where("slot = -1").drop("slot"), w.where("slot >= 0"), ["q"], [], ["slot"])
@@ -153,13 +179,17 @@ w AS (SELECT doc_id, tok, idf / sqrt(sum(idf * idf) OVER (PARTITION BY doc_id))
 sig AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS s FROM w a JOIN w b ON a.tok = b.tok AND a.doc_id < b.doc_id GROUP BY 1, 2)"""
 
 
-def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _signature_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     phrases = ["license", "password", "copyright", "all rights reserved"]
     toks = R.signature_tokens(F.col("text"), [X.EMAIL, X.PHONE], phrases)
     counts = docs.select("doc_id", F.explode(toks).alias("term")).withColumn("tf", F.lit(1))
     model = I.fit(counts, docs.agg(F.countDistinct("doc_id").alias("n")), [])
-    return I.pair_scores(I.weigh(counts, model, [], ["doc_id"], binary=True), "doc_id")
+    return I.weigh(counts, model, [], ["doc_id"], binary=True)
+
+
+def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.pair_scores(_signature_weights(spark, sf_dir), "doc_id")
 
 
 @query(_SIG + " SELECT a, b, round(s, 6) AS score FROM sig")
@@ -168,21 +198,34 @@ def signature_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_SIG + f""",
-tc AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY 1, 2),
-m AS (SELECT term, ln((1 + n) / (1.0 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df FROM tc GROUP BY 1), n WHERE df <= 0.003 * n),
-r AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tc JOIN m USING (term)),
+tc AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_GRAMS.format('text')} AS term FROM documents) GROUP BY 1, 2),
+m AS (SELECT term, ln((1 + n) / (1.0 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df FROM tc GROUP BY 1), (SELECT count(*) AS n FROM documents) WHERE df <= 0.65 * n),
+r AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tc JOIN m USING (term) WHERE doc_id IN (SELECT doc_id FROM t)),
 x AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM r),
-tx AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS s FROM x a JOIN x b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT a, b, round(0.9 * coalesce(sig.s, 0) + 0.1 * coalesce(tx.s, 0), 6) AS score FROM sig FULL JOIN tx USING (a, b) WHERE 0.9 * coalesce(sig.s, 0) + 0.1 * coalesce(tx.s, 0) >= 0.0501""")
+tx AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS s FROM x a JOIN x b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS rep FROM documents WHERE doc_id IN (SELECT doc_id FROM t))
+SELECT a, b, round(0.9 * sig.s + 0.1 * tx.s, 6) AS score FROM sig JOIN tx USING (a, b) WHERE 0.9 * sig.s + 0.1 * tx.s >= 0.95
+  AND a IN (SELECT rep FROM e) AND (b IN (SELECT rep FROM e) OR a = (SELECT rep FROM e WHERE e.doc_id = b))""")
 def blended_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """0.9 signature and 0.1 TF-IDF similarity; only rare terms block pairs, absent pairs are 0."""
+    """Pairs whose 0.9 signature and 0.1 TF-IDF similarity is 0.95 or more.
+
+    These have a TF-IDF cosine of 0.5 at least and both have a signature. Equal texts are one class, which
+    its smallest id stands for in pairs with others; each other id of a class is paired with it (score 1).
+    """
     docs = read(spark, sf_dir, "documents")
-    counts = I.term_counts(docs, ["doc_id"], X.tokens(F.col("text"), X.PORTABLE))
-    model = I.fit(counts, docs.agg(F.count("*").alias("n")), [], max_df=0.003)
-    tx = I.pair_scores(I.weigh(counts, model, [], ["doc_id"]), "doc_id").withColumnRenamed("score", "t")
-    both = _signatures(spark, sf_dir).join(tx, ["a", "b"], "full")
-    score = 0.9 * F.coalesce("score", F.lit(0.0)) + 0.1 * F.coalesce("t", F.lit(0.0))
-    return both.where(score >= 0.0501).select("a", "b", F.round(score, 6).alias("score"))
+    counts = I.term_counts(docs, ["doc_id"], grams(F.col("text")))
+    model = I.fit(counts, docs.agg(F.count("*").alias("n")), [], max_df=0.65)
+    signed = _signature_weights(spark, sf_dir)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(signed.select("doc_id").distinct(), "doc_id", "left_semi")
+    # texts meet by hash and are compared whole; each class has one representative
+    members = texts.groupBy("h", "text").agg(F.min("doc_id").alias("a"), F.collect_set("doc_id").alias("ids"))
+    copies = members.select("a", F.explode("ids").alias("b")).where("a <> b").select("a", "b", F.lit(1.0).alias("score"))
+    reps = members.select(F.col("a").alias("doc_id"))
+    near = I.close_pairs(I.weigh(counts.join(reps, "doc_id", "left_semi"), model, [], ["doc_id"]), model, "doc_id", 0.5).withColumnRenamed("score", "t")
+    a, b = (signed.select(F.col("doc_id").alias(c), "term", F.col("w").alias(f"w{c}")) for c in "ab")
+    both = near.join(a, "a").join(b, ["b", "term"]).groupBy("a", "b", "t").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
+    score = 0.9 * F.col("s") + 0.1 * F.col("t")
+    return both.where(score >= 0.95).select("a", "b", F.round(score, 6).alias("score")).union(copies)
 
 
 _EMAIL_SQL, _PHONE_SQL = X.EMAIL, X.PHONE
@@ -268,11 +311,11 @@ def _replaced(condition: str) -> str:
 
 @query(f"""
 WITH c AS ({" UNION ALL ".join(f"SELECT '{k}' AS condition, doc_id, {_replaced(k)} AS text FROM documents" for k in _CONDITIONS)}),
-tc AS (SELECT condition, doc_id, term, count(*) AS tf FROM (SELECT condition, doc_id, unnest({_TOK.format('text')}) AS term FROM c) GROUP BY 1, 2, 3),
-m AS (SELECT condition, term, ln((1 + n) / (1.0 + df)) + 1 AS idf FROM (SELECT condition, term, count(*) AS df FROM tc GROUP BY 1, 2), (SELECT count(*) AS n FROM documents) WHERE df <= 0.65 * n),
+tc AS (SELECT condition, doc_id, term, count(*) AS tf FROM (SELECT condition, doc_id, {_GRAMS.format('text')} AS term FROM c) GROUP BY 1, 2, 3),
+m AS (SELECT condition, term, ln((1 + n) / (1.0 + df)) + 1 AS idf FROM (SELECT condition, term, count(*) AS df FROM tc GROUP BY 1, 2), (SELECT count(*) AS n FROM documents) WHERE df <= 0.9 * n),
 r AS (SELECT condition, doc_id, term, (1 + ln(tf)) * idf AS w FROM tc JOIN m USING (condition, term)),
 w AS (SELECT condition, doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY condition, doc_id)) AS w FROM r),
-qc AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_TOK.format('text')}) AS term FROM benchmark) GROUP BY 1, 2),
+qc AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, {_GRAMS.format('text')} AS term FROM benchmark) GROUP BY 1, 2),
 qr AS (SELECT condition, item_id, term, (1 + ln(tf)) * idf AS w FROM qc JOIN m USING (term)),
 q AS (SELECT condition, item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY condition, item_id)) AS w FROM qr),
 s AS (SELECT condition, item_id, doc_id, sum(q.w * w.w) AS score FROM q JOIN w USING (condition, term) GROUP BY 1, 2, 3),
@@ -284,14 +327,14 @@ def exposure_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     options = F.array(*[F.struct(F.lit(k).alias("condition"), (F.replace("text", F.lit(old), F.lit(new)) if old else F.col("text")).alias("text")) for k, (old, new) in _CONDITIONS.items()])
     every = docs.select("doc_id", F.explode(options).alias("o")).select("doc_id", "o.condition", "o.text")
-    terms = X.tokens(F.col("text"), X.PORTABLE)
+    terms = grams(F.col("text"))
     counts = I.term_counts(every, ["condition", "doc_id"], terms)
-    model = I.fit(counts, every.groupBy("condition").agg(F.count("*").alias("n")), ["condition"], max_df=0.65)
+    model = I.fit(counts, every.groupBy("condition").agg(F.count("*").alias("n")), ["condition"], max_df=0.9)
     items = read(spark, sf_dir, "benchmark")
     asked = I.term_counts(items, ["item_id"], terms).crossJoin(F.broadcast(every.select("condition").distinct()))
     scored = I.scores(I.weigh(asked, model, ["condition"], ["condition", "item_id"]), I.weigh(counts, model, ["condition"], ["condition", "doc_id"]), ["condition"], ["item_id"], ["doc_id"])
     ranks = I.ranked(scored, ["condition", "item_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")])
-    relevant = docs.join(items.select("item_id", F.col("text").alias("passage")), F.contains("text", "passage")).select("item_id", "doc_id")
+    relevant = passages_held(docs, items)
     first = ranks.join(relevant, ["item_id", "doc_id"]).groupBy("condition", "item_id").agg(F.min("rank").alias("first_rank"))
     within = lambda k: F.round(F.avg((F.col("first_rank") <= k).cast("int")), 6)
     return first.groupBy("condition").agg(F.count("*").alias("n_queries"), within(1).alias("hit_at_1"), within(5).alias("hit_at_5"), F.round(F.avg(1 / F.col("first_rank")), 6).alias("mrr"))
