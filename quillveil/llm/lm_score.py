@@ -75,9 +75,9 @@ class Head:
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return np.where(self.words[at] == h, at, -1)
 
-    def segments(self, before: np.ndarray, h: np.ndarray, log_segments: int) -> np.ndarray:
-        """The segment of each pair: by its first word, and for frequent ones by some bits of the second."""
-        at = self.find(before)
+    def segments(self, before: np.ndarray, at: np.ndarray, h: np.ndarray, log_segments: int) -> np.ndarray:
+        """The segment of each pair: by its first word, which is at ``at``, and for frequent ones by some
+        bits of the second."""
         splits = np.where(at >= 0, self.counts[at] >> 17, 0) if len(self.words) else np.zeros(len(h), np.int64)
         part = mix64(h) % (splits.astype(np.uint64) + np.uint64(1))
         return segment_of(mix64(before ^ (part * _STEP)), log_segments)
@@ -116,17 +116,20 @@ class LogFrequencies:
     def levels(self, keys: np.ndarray, segments: np.ndarray) -> np.ndarray:
         u, first, back = np.unique(keys, return_index=True, return_inverse=True)
         seg = segments[first] - self.low
-        level, open_ = np.zeros(len(u), np.int64), np.flatnonzero(self.sizes[seg] > 0)
-        for q in range(1, 64):
+        size, start = self.sizes[seg], self.starts[seg]
+        level, open_, q = np.zeros(len(u), np.int64), np.flatnonzero(size > 0), 0
+        while len(open_):
+            q += 1
             a = mix64(u[open_] + np.uint64(q * int(_LEVEL) % (1 << 64)))
-            b = mix64(a ^ _STEP) | np.uint64(1)
-            for _ in range(self.probes):
-                bits, start = self.sizes[seg[open_]], self.starts[seg[open_]]
-                at = (((a >> np.uint64(32)) * bits) >> np.uint64(32)) + start
-                hit = (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
-                open_, a, b = open_[hit], (a + b)[hit], b[hit]
-            if not len(open_):
-                break
+            b, own, at = mix64(a ^ _STEP) | np.uint64(1), size[open_], start[open_]
+            # most keys of pairs that aren't held fail at once
+            for n in (2, 2, 4, self.probes - 8):
+                hit = np.ones(len(open_), bool)
+                for _ in range(n):
+                    p = (((a >> np.uint64(32)) * own) >> np.uint64(32)) + at
+                    hit &= (self.data[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+                    a += b
+                open_, a, b, own, at = open_[hit], a[hit], b[hit], own[hit], at[hit]
             level[open_] = q
         return level[back]
 
@@ -137,7 +140,7 @@ def pair_counts(learn: DataFrame, head, log_segments: int, most: int = 1_500_000
     def cut(us, hs, n):
         u, h = np.concatenate(us), np.concatenate(hs)
         keys, at, counts = np.unique(pair_keys(u, h), return_index=True, return_counts=True)
-        u, seg = u[at], head.value.segments(u[at], h[at], log_segments)
+        u, seg = u[at], head.value.segments(u[at], head.value.find(u[at]), h[at], log_segments)
         order = np.lexsort((u, seg))
         u, seg, keys, counts = u[order], seg[order], keys[order], counts[order]
         new = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (seg[1:] != seg[:-1])))
@@ -215,8 +218,8 @@ def lm_score(docs: DataFrame, held_out: Column, head: int = 1 << 19, min_count:
     frequent = counts.where(F.col("c") >= least)
 
     def arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
-        got = df.select(*names).toPandas()  # at most `head` rows
-        return [got[c].to_numpy() for c in names]
+        got = df.select(*names).toArrow()  # at most `head` rows
+        return [got.column(c).to_numpy() for c in names]
 
     h, c = arrays(frequent, "h", "c")
     top = Head(h.astype(np.int64).view(np.uint64), c.astype(np.int64))
@@ -249,9 +252,11 @@ def lm_score(docs: DataFrame, held_out: Column, head: int = 1 << 19, min_count:
         for b in batches:
             for i, j, buf, bounds in text_pieces(b.column(1), 1 << 20):
                 h, before, first = tokens(buf, bounds)
-                w, u = top.find(h), top.find(before)
-                u = np.where(before == START, len(top.words), u)
-                seg = top.segments(before, h, log_segments)
+                w = top.find(h)
+                u = np.append(-1, w[:-1])
+                u[first[:-1]] = -1
+                seg = top.segments(before, u, h, log_segments)
+                u[first[:-1]] = len(top.words)
                 here = (seg >= inside[0]) & (seg < inside[1])
                 level = np.zeros(len(h), np.int64)
                 level[here] = filt.levels(pair_keys(before[here], h[here]), seg[here])
@@ -304,9 +309,9 @@ def lm_score(docs: DataFrame, held_out: Column, head: int = 1 << 19, min_count:
 
 def _loaded(built: DataFrame, log_segments: int, most_bytes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The filter in runs of segments of at most ``most_bytes``, or one segment: first segment, bits of each, bytes."""
-    got = built.select("seg", "n_bits").toPandas()  # a row of two numbers for each segment
+    got = built.select("seg", "n_bits").toArrow()  # a row of two numbers for each segment
     sizes = np.zeros(1 << log_segments, np.int64)
-    sizes[got["seg"].to_numpy(np.int64)] = got["n_bits"].to_numpy(np.int64)
+    sizes[got.column("seg").to_numpy()] = got.column("n_bits").to_numpy()
     low = 0
     while low < len(sizes):
         ends = np.cumsum(sizes[low:]) // 8
