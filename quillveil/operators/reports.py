@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,10 +36,36 @@ def against_baseline(rows: DataFrame, key: str, value: str, baseline: str) -> Da
     return rows.crossJoin(F.broadcast(base)).withColumn("delta", F.col(value) - F.col("_base")).drop("_base")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the folder of spark.checkpoint.dir; a local session may go without one."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
+def numbered(keys: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Number the distinct keys from 0 in their order, and the number of all (one row, total).
+
+    Keys are range partitioned and numbered within partitions; offsets come from one row a partition.
+    """
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = keys.select(key).distinct().repartitionByRange(n, key).withColumn("_part", F.spark_partition_id())
+    # spark_partition_id belongs to this layout, so both uses read one written result
+    parts = written(parts)
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = parts.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1)
+    return own.join(F.broadcast(offsets), "_part").select(key, (F.col("_own") + F.col("_before")).alias(name)), counts.agg(F.sum("_n").alias("total"))
+
+
 def batches(keys: DataFrame, key: str, size: int) -> DataFrame:
     """Add the number of the fixed-size batch that each distinct key falls in, keys in order."""
-    ranked = keys.select(key).distinct().withColumn("batch", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size).cast("int"))
-    return keys.join(ranked, key)
+    ranked, _ = numbered(keys, key, "_nth")
+    return keys.join(ranked.select(key, F.floor(F.col("_nth") / size).cast("int").alias("batch")), key)
 
 
 def token_estimate(rows: DataFrame, condition: str, chars: Column, tokens: Column) -> DataFrame:

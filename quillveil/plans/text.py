@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import redaction as R
+from ..operators import reports as A
 from ..operators import tfidf as I
 from . import read
 
@@ -155,10 +156,8 @@ def per_group_aux_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations")
     joined = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("turn", "text")))), lambda x: x["text"]), " ")
     convs = turns.groupBy("conv_id").agg(joined(F.col("turn") > 0).alias("body"), joined(F.col("turn") == 0).alias("profile"))
-    from pyspark.sql import Window
-
-    place = convs.select("conv_id", (F.row_number().over(Window.orderBy("conv_id")) - 1).alias("pos"), F.count("*").over(Window.partitionBy()).alias("total"))
-    slots = place.select(F.col("conv_id").alias("q"), "pos", "total", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("slot")).withColumn("pos", (F.col("pos") + F.col("slot") * 7) % F.col("total"))
+    place, total = A.numbered(convs, "conv_id", "pos")
+    slots = place.select(F.col("conv_id").alias("q"), "pos", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("slot")).crossJoin(F.broadcast(total)).withColumn("pos", (F.col("pos") + F.col("slot") * 7) % F.col("total"))
     cands = slots.drop("total").join(place.select("pos", F.col("conv_id").alias("cand")), "pos").join(convs.select(F.col("conv_id").alias("cand"), F.col("profile").alias("text")), "cand")
     texts = cands.select("q", "slot", "text").union(convs.select("conv_id", F.lit(-1), "body"))
     counts = I.term_counts(texts, ["q", "slot"], grams(F.coalesce("text", F.lit(""))))
@@ -346,10 +345,8 @@ p AS (SELECT a.conv_id AS q, b.conv_id AS cand, {_TOK.format("coalesce(a.body, '
 SELECT q, cand, len(list_intersect(list_distinct(x), list_distinct(y)))::INT AS shared, round(coalesce(len(list_intersect(list_distinct(x), list_distinct(y))) / nullif(len(list_distinct(list_concat(x, y))), 0), 0), 6) AS jaccard FROM p""")
 def shared_tokens_with_rival(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that an entity's texts share with the next entity's: what a rival match rests on."""
-    from pyspark.sql import Window
-
     turns = read(spark, sf_dir, "conversations").where("turn > 0")
-    convs = read(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("pos", F.row_number().over(Window.orderBy("conv_id")))
+    convs, _ = A.numbered(read(spark, sf_dir, "conversations"), "conv_id", "pos")
     words = turns.select("conv_id", F.explode(X.tokens(F.col("text"), X.PORTABLE)).alias("w")).groupBy("conv_id").agg(F.collect_set("w").alias("ws"))
     full = convs.join(words, "conv_id", "left").withColumn("ws", F.coalesce("ws", F.array().cast("array<string>")))
     a, b = full.select(F.col("conv_id").alias("q"), (F.col("pos") + 1).alias("pos"), F.col("ws").alias("x")), full.select(F.col("conv_id").alias("cand"), "pos", F.col("ws").alias("y"))
