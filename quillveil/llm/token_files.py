@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import kept_by_worker, removed, scratch, text_pieces, written
-from .words import mix64
+from .words import span_hashes
 
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 #: Parts that a worker remembers; with their tokens some 100 MB at most.
@@ -121,7 +121,7 @@ class Encoder:
         if whole:  # such a text isn't cut: white space before a special token is its own part
             starts = np.unique(bounds[:-1][np.diff(bounds) > 0])
         ends = np.append(starts[1:], len(raw))
-        hashes = part_hashes(buf, starts, ends)
+        hashes = span_hashes(buf, starts, ends)
         far = (ends - starts > _LONGEST) | whole
         u, first, back = np.unique(hashes[~far], return_index=True, return_inverse=True)
         first = np.flatnonzero(~far)[first]
@@ -147,20 +147,6 @@ class Encoder:
         return out, np.append(before, len(out))[parts + np.arange(len(parts))]
 
 
-def part_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the parts' bytes; of no use for parts of more than _LONGEST bytes."""
-    h, size = np.zeros(len(starts), np.uint64), ends - starts
-    short = np.flatnonzero(size <= _LONGEST)
-    order = short[np.argsort(size[short], kind="stable")]
-    low = np.searchsorted(size[order], np.arange(1, int(size[order[-1]]) + 1 if len(order) else 1))
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    for k, at in enumerate(low):
-        own = order[at:]
-        h[own] = (h[own] ^ padded[starts[own] + k]) * np.uint64(0x9E3779B97F4A7C15)
-        h[own] ^= h[own] >> np.uint64(29)
-    return mix64(h + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
 def encode(batches, tokenizer_path: str, end_id: int, kind: str, special_as_text: bool = False):
     """(doc_id, text) to (doc_id, ids as ``kind``, little end first)."""
     kept = kept_by_worker(f"{tokenizer_path} {kind} {special_as_text}")

@@ -52,8 +52,12 @@ def word_spans(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 def word_hashes(buf: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of every word, and each text's first word (one more entry than texts)."""
     starts, ends, first = word_spans(buf, bounds)
+    return span_hashes(buf, starts, ends, _VALUE_LOWER if lower else _VALUE), starts, ends, first
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray = _VALUE) -> np.ndarray:
+    """Hashes of byte spans that follow one another and don't overlap."""
     out = np.empty(len(starts), np.uint64)
-    value = _VALUE_LOWER if lower else _VALUE
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SPAN, side="right")))
@@ -65,4 +69,4 @@ def word_hashes(buf: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[np.nd
         s, e = starts[i:j] - at, ends[i:j] - at
         out[i:j] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         i = j
-    return out, starts, ends, first
+    return out
