@@ -11,9 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def term_counts(docs: DataFrame, keys: list[str], terms: Column) -> DataFrame:
-    """(keys, term, tf); counts combine before they shuffle."""
-    return docs.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+def term_counts(docs: DataFrame, keys: list[str], terms: Column, upto: int = 1) -> DataFrame:
+    """(keys, term, tf) of a list of terms, or of all space-joined runs of one to ``upto`` of them; counts
+    combine before they shuffle."""
+    if upto == 1:
+        rows = docs.select(*keys, F.explode(terms).alias("term"))
+    else:  # rows of a term and its followers, so that runs are joined in generated code
+        listed = docs.select(*keys, terms.alias("_w"))
+        rest = lambda k: F.slice("_w", k + 1, F.greatest(F.size("_w") - k, F.lit(0))).alias(f"t{k}")
+        runs = listed.select(*keys, F.explode(F.arrays_zip(*map(rest, range(upto)))).alias("_r"))
+        run = lambda n: F.when(F.col(f"_r.t{n - 1}").isNotNull(), F.concat_ws(" ", *[F.col(f"_r.t{k}") for k in range(n)]))
+        rows = runs.select(*keys, F.explode(F.array(*map(run, range(1, upto + 1)))).alias("term")).where("term is not null")
+    return rows.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def fit(counts: DataFrame, sizes: DataFrame, group: list[str], max_df: float = 1.0, binary: bool = False) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators import redaction as R
 from ..operators import reports as A
 from ..operators import tfidf as I
 from . import read
-from .text import _GRAMS, _TOK, grams, passages_held
+from .text import _GRAMS, _TOK, passages_held
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -194,8 +194,8 @@ def attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     out = cands
     chars = F.flatten(F.array(*[X.char_ngrams(text, n) for n in (3, 4, 5)]))
-    for name, terms in (("word", grams(text)), ("char", chars)):
-        counts = I.term_counts(texts, ["q", "slot"], terms)
+    for name, terms, upto in (("word", X.tokens(text, X.PORTABLE), 3), ("char", chars, 1)):
+        counts = I.term_counts(texts, ["q", "slot"], terms, upto)
         model = I.fit(counts, convs.select(F.col("conv_id").alias("q"), F.lit(11).alias("n")), ["q"], max_df=0.9)
         w = I.weigh(counts, model, ["q"], ["q", "slot"])
         out = out.join(I.scores(w.where("slot = -1").drop("slot"), w.where("slot >= 0"), ["q"], [], ["slot"]).withColumnRenamed("score", name), ["q", "slot"], "left").fillna({name: 0.0})
@@ -246,9 +246,9 @@ def context_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     asked = items.select("item_id", words.alias("w")).select("item_id", F.explode(F.array(*[F.struct(F.lit(k).alias("query_type"), F.array_join(F.slice("w", 1, n), " ").alias("text")) for k, n in _TYPES.items()])).alias("x")).select("item_id", "x.*")
-    counts = I.term_counts(docs, ["doc_id"], grams(F.col("text")))
+    counts = I.term_counts(docs, ["doc_id"], X.tokens(F.col("text"), X.PORTABLE), 3)
     model = I.fit(counts, docs.agg(F.count("*").alias("n")), [], max_df=0.9)
-    queries = I.weigh(I.term_counts(asked, ["query_type", "item_id"], grams(F.col("text"))), model, [], ["query_type", "item_id"])
+    queries = I.weigh(I.term_counts(asked, ["query_type", "item_id"], X.tokens(F.col("text"), X.PORTABLE), 3), model, [], ["query_type", "item_id"])
     scored = I.scores(queries, I.weigh(counts, model, [], ["doc_id"]), [], ["query_type", "item_id"], ["doc_id"])
     top = I.ranked(scored, ["query_type", "item_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")]).where("rank <= 10")
     top = top.join(passages_held(docs, items).withColumn("held", F.lit(1)), ["item_id", "doc_id"], "left").fillna({"held": 0})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -21,11 +21,6 @@ _TOK = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_\[\]-]+')"
 _GRAMS = "unnest(flatten(list_transform([" + _TOK + "], lambda w: list_concat(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])), list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))))"
 
 
-def grams(text) -> Column:
-    # the list of one element makes the tokens once, not for every run
-    return F.flatten(F.transform(F.array(X.tokens(text, X.PORTABLE)), lambda w: X.word_ngrams_upto(w, 3)))
-
-
 def passages_held(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id) where a document's text holds a passage's text.
 
@@ -96,10 +91,10 @@ k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9)
 
 def _weights(spark: SparkSession, sf_dir: str, max_df: float) -> tuple[DataFrame, DataFrame]:
     docs = read(spark, sf_dir, "documents")
-    terms = grams(F.col("text"))
-    counts = I.term_counts(docs, ["doc_id"], terms)
+    terms = X.tokens(F.col("text"), X.PORTABLE)
+    counts = I.term_counts(docs, ["doc_id"], terms, 3)
     model = I.fit(counts, docs.agg(F.count("*").alias("n")), [], max_df=max_df)
-    queries = I.term_counts(read(spark, sf_dir, "benchmark"), ["item_id"], terms)
+    queries = I.term_counts(read(spark, sf_dir, "benchmark"), ["item_id"], terms, 3)
     return I.weigh(counts, model, [], ["doc_id"]), I.weigh(queries, model, [], ["item_id"])
 
 
@@ -160,7 +155,7 @@ def per_group_aux_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = place.select(F.col("conv_id").alias("q"), "pos", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("slot")).crossJoin(F.broadcast(total)).withColumn("pos", (F.col("pos") + F.col("slot") * 7) % F.col("total"))
     cands = slots.drop("total").join(place.select("pos", F.col("conv_id").alias("cand")), "pos").join(convs.select(F.col("conv_id").alias("cand"), F.col("profile").alias("text")), "cand")
     texts = cands.select("q", "slot", "text").union(convs.select("conv_id", F.lit(-1), "body"))
-    counts = I.term_counts(texts, ["q", "slot"], grams(F.coalesce("text", F.lit(""))))
+    counts = I.term_counts(texts, ["q", "slot"], X.tokens(F.coalesce("text", F.lit("")), X.PORTABLE), 3)
     model = I.fit(counts, place.select(F.col("conv_id").alias("q"), F.lit(11).alias("n")), ["q"], max_df=0.9)
     w = I.weigh(counts, model, ["q"], ["q", "slot"])
     scored = I.scores(w.where("slot = -1").drop("slot"), w.where("slot >= 0"), ["q"], [], ["slot"])
@@ -212,7 +207,7 @@ def blended_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     its smallest id stands for in pairs with others; each other id of a class is paired with it (score 1).
     """
     docs = read(spark, sf_dir, "documents")
-    counts = I.term_counts(docs, ["doc_id"], grams(F.col("text")))
+    counts = I.term_counts(docs, ["doc_id"], X.tokens(F.col("text"), X.PORTABLE), 3)
     model = I.fit(counts, docs.agg(F.count("*").alias("n")), [], max_df=0.65)
     signed = _signature_weights(spark, sf_dir)
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(signed.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -326,11 +321,11 @@ def exposure_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     options = F.array(*[F.struct(F.lit(k).alias("condition"), (F.replace("text", F.lit(old), F.lit(new)) if old else F.col("text")).alias("text")) for k, (old, new) in _CONDITIONS.items()])
     every = docs.select("doc_id", F.explode(options).alias("o")).select("doc_id", "o.condition", "o.text")
-    terms = grams(F.col("text"))
-    counts = I.term_counts(every, ["condition", "doc_id"], terms)
+    terms = X.tokens(F.col("text"), X.PORTABLE)
+    counts = I.term_counts(every, ["condition", "doc_id"], terms, 3)
     model = I.fit(counts, every.groupBy("condition").agg(F.count("*").alias("n")), ["condition"], max_df=0.9)
     items = read(spark, sf_dir, "benchmark")
-    asked = I.term_counts(items, ["item_id"], terms).crossJoin(F.broadcast(every.select("condition").distinct()))
+    asked = I.term_counts(items, ["item_id"], terms, 3).crossJoin(F.broadcast(every.select("condition").distinct()))
     scored = I.scores(I.weigh(asked, model, ["condition"], ["condition", "item_id"]), I.weigh(counts, model, ["condition"], ["condition", "doc_id"]), ["condition"], ["item_id"], ["doc_id"])
     ranks = I.ranked(scored, ["condition", "item_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")])
     relevant = passages_held(docs, items)
