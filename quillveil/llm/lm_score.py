@@ -67,13 +67,24 @@ class Head:
     def __init__(self, words: np.ndarray, counts: np.ndarray):
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
+        log = max(1, int(len(words)).bit_length())
+        self.shift = np.uint64(64 - log)
+        # the first word of each of the 2^log equal parts of the hash space, one or none in most
+        self.starts = np.searchsorted(self.words, np.arange(1 << log, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.starts = np.append(self.starts, np.int32(len(words)))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The place of each token's word, -1 for words outside."""
-        if not len(self.words):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at, -1)
+        out, part = np.full(len(h), -1), (h >> self.shift).astype(np.int64)
+        at, end = self.starts[part], self.starts[part + 1]
+        left = np.flatnonzero(at < end)
+        at, end, h = at[left], end[left], h[left]
+        while len(left):
+            hit = self.words[at] == h
+            out[left[hit]] = at[hit]
+            more = np.flatnonzero(~hit & (at + 1 < end))
+            left, at, end, h = left[more], at[more] + 1, end[more], h[more]
+        return out
 
     def segments(self, before: np.ndarray, at: np.ndarray, h: np.ndarray, log_segments: int) -> np.ndarray:
         """The segment of each pair: by its first word, which is at ``at``, and for frequent ones by some
@@ -114,8 +125,9 @@ class LogFrequencies:
         self.starts = (np.cumsum(sizes) - sizes).astype(np.uint64)
 
     def levels(self, keys: np.ndarray, segments: np.ndarray) -> np.ndarray:
-        u, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        seg = segments[first] - self.low
+        u, back = np.unique(keys, return_inverse=True)
+        seg = np.empty(len(u), np.int64)
+        seg[back] = segments - self.low
         size, start = self.sizes[seg], self.starts[seg]
         level, open_, q = np.zeros(len(u), np.int64), np.flatnonzero(size > 0), 0
         while len(open_):
