@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,21 +31,13 @@ p AS (SELECT a.split, a.vec_id AS a, b.vec_id AS b, (a.label = b.label)::INT AS
       FROM x a JOIN x b ON a.split = b.split AND a.vec_id < b.vec_id)"""
 
 
-def _dot(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def split_ids(rows: DataFrame, key: str, stride: int = 5) -> DataFrame:
     """Every stride-th sorted id goes to val, the others to test."""
     return rows.withColumn("split", F.when((F.row_number().over(Window.orderBy(key)) - 1) % stride == 0, "val").otherwise("test"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
-    """Scores of all pairs within a split: the table under audit, of bounded size."""
-    e = split_ids(read(spark, sf_dir, "embeddings"), "vec_id").where(F.col("split") == split)
-    e = e.select("vec_id", "label", "embedding", F.sqrt(_dot("embedding", "embedding")).alias("norm"))
-    a, b = e.toDF("a", "la", "va", "na"), e.toDF("b", "lb", "vb", "nb")
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", (F.col("la") == F.col("lb")).cast("int").alias("label"), F.round(_dot("va", "vb") / (F.col("na") * F.col("nb")), 9).alias("score"))
+def _split(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
+    return split_ids(read(spark, sf_dir, "embeddings"), "vec_id").where(F.col("split") == split)
 
 
 _THRESHOLD = _SPLIT + """,
@@ -63,10 +56,9 @@ SELECT round(best.threshold, 6) AS threshold, round(best.f1, 6) AS val_f1,
 FROM p, best WHERE split = 'test' GROUP BY best.threshold, best.f1""")
 def pair_threshold_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold chosen on the validation split, applied to the test split."""
-    best = L.best_threshold(_pairs(spark, sf_dir, "val")).toDF("threshold", "val_f1")
-    test = _pairs(spark, sf_dir, "test").crossJoin(F.broadcast(best))
-    m = L.pair_metrics(test, F.col("score") >= F.col("threshold"), ["threshold", "val_f1"])
-    return m.select(*[F.round(c, 6).alias(c) for c in ("threshold", "val_f1", "precision", "recall", "f1")])
+    threshold, val_f1 = L.cosine_threshold(_split(spark, sf_dir, "val"), "vec_id", "embedding", "label")
+    m = L.count_metrics(L.score_counts(_split(spark, sf_dir, "test"), "vec_id", "embedding", "label", np.array([threshold])))
+    return m.select(F.round(F.lit(threshold), 6).alias("threshold"), F.round(F.lit(val_f1), 6).alias("val_f1"), *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 _COMP = """WITH RECURSIVE u AS (SELECT vec_id, label, list_transform(embedding, lambda c: c::DOUBLE) AS v FROM embeddings),
@@ -76,10 +68,8 @@ c AS (SELECT u.vec_id, u.label, least(u.vec_id, coalesce(min(seen), u.vec_id)) A
 
 
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", F.sqrt(_dot("embedding", "embedding")).alias("norm"))
-    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"), F.col("norm").alias("na")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"), F.col("norm").alias("nb"))
-    edges = a.join(b, F.col("a") < F.col("b")).where(_dot("va", "vb") / (F.col("na") * F.col("nb")) >= 0.9).select("a", "b")
-    return L.connected(e.select("vec_id"), edges, "vec_id").join(e.select("vec_id", "label"), "vec_id")
+    e = read(spark, sf_dir, "embeddings")
+    return L.connected(e.select("vec_id"), L.links(e, "vec_id", "embedding", 0.9), "vec_id").join(e.select("vec_id", "label"), "vec_id")
 
 
 @query(_COMP + " SELECT vec_id, component FROM c")
@@ -114,10 +104,9 @@ SELECT tier, count(*) AS n_pairs, round(coalesce(sum(label) FILTER (WHERE score
   round(coalesce(2.0 * sum(label) FILTER (WHERE score >= 0.2) / nullif(count(*) FILTER (WHERE score >= 0.2) + sum(label), 0), 0), 6) AS f1 FROM t GROUP BY tier""")
 def tier_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pair metrics of pairs within a tier, at one threshold for all tiers."""
-    tiers = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 3).alias("tier"))
-    p = _pairs(spark, sf_dir, "test").join(tiers.toDF("a", "tier"), "a").join(tiers.toDF("b", "tier_b"), "b").where("tier = tier_b")
-    n = p.groupBy("tier").agg(F.count("*").alias("n_pairs"))
-    return L.pair_metrics(p, F.col("score") >= 0.2, ["tier"]).join(n, "tier").select("tier", "n_pairs", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    test = _split(spark, sf_dir, "test").withColumn("tier", F.col("label") % 3)
+    m = L.count_metrics(L.score_counts(test, "vec_id", "embedding", "label", np.array([0.2]), ["tier"]), ["tier"])
+    return m.select("tier", "n_pairs", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query("SELECT vec_id, CASE WHEN (row_number() OVER (ORDER BY vec_id) - 1) % 5 = 0 THEN 'val' ELSE 'test' END AS split FROM embeddings")

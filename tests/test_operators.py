@@ -176,3 +176,27 @@ def test_files(spark, tmp_path):
     assert S.read_conditions(spark, str(tmp_path / "p"), ["c1"]).count() == 1
     with pytest.raises(ValueError):
         S.read_conditions(spark, str(tmp_path / "p"), ["c1", "c9"])
+
+
+def test_block_counts_match_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(20, 6)), 2, axis=0) + 0.3 * rng.normal(size=(40, 6))
+    rows = [(i, int(i // 2), i % 3, v.tolist()) for i, v in enumerate(x)] + [(40, 7, 0, None), (41, 7, 1, [0.0] * 6), (42, 7, 2, [1.0, None] + [0.0] * 4)]
+    df = spark.createDataFrame(rows, "id long, who int, tier int, v array<double>")
+    cos = lambda i, j: round(float(x[i] @ x[j] / np.linalg.norm(x[i]) / np.linalg.norm(x[j])), 9)
+    pairs = [(i, j, int(i // 2 == j // 2), cos(i, j)) for i in range(40) for j in range(i + 1, 40)]
+    whole = L._cosine_blocks
+    monkeypatch.setattr(L, "_cosine_blocks", lambda *a: whole(*a, per=7))
+    assert {tuple(r) for r in L.links(df, "id", "v", 0.8).collect()} == {(i, j) for i, j, _, s in pairs if s >= 0.8}
+    got = {(r.tier, r.m): (r.n, r.same) for r in L.score_counts(df, "id", "v", "who", np.array([-0.2, 0.2]), ["tier"]).collect()}
+    want = {}
+    for i, j, same, s in pairs:
+        if i % 3 == j % 3:
+            k = (i % 3, int(s >= -0.2) + int(s >= 0.2))
+            want[k] = (want.get(k, (0, 0))[0] + 1, want.get(k, (0, 0))[1] + same)
+    assert got == want
+    table = spark.createDataFrame([(s, same) for _, _, same, s in pairs], "score double, label int")
+    best = L.best_threshold(table).first()
+    assert np.allclose(L.cosine_threshold(df, "id", "v", "who"), (best.threshold, best.f1))
+    assert L.cosine_threshold(df.where(F.lit(False)), "id", "v", "who") == (1.0, 0.0)
+    assert L.links(df.where("id >= 40"), "id", "v", 0.0).count() == 0
