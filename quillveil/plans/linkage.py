@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import kanon as K
 from ..operators import linkage as L
+from ..operators.reports import numbered
 from . import read
 
 QUERIES: dict = {}
@@ -32,8 +33,9 @@ p AS (SELECT a.split, a.vec_id AS a, b.vec_id AS b, (a.label = b.label)::INT AS
 
 
 def split_ids(rows: DataFrame, key: str, stride: int = 5) -> DataFrame:
-    """Every stride-th sorted id goes to val, the others to test."""
-    return rows.withColumn("split", F.when((F.row_number().over(Window.orderBy(key)) - 1) % stride == 0, "val").otherwise("test"))
+    """Every stride-th sorted id goes to val, the others to test; equal ids go together, null ones to test."""
+    val = numbered(rows, key, "_nth")[0].where(F.col("_nth") % stride == 0).select(key, F.lit("val").alias("split"))
+    return rows.join(val, key, "left").withColumn("split", F.coalesce("split", F.lit("test")))
 
 
 def _split(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
