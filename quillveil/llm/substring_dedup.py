@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import RowKeys, lists, scratch, text_pieces
 from .seen import expected_units, seen_twice
-from .words import mix64, word_hashes, word_spans
+from .words import mix64, other_hashes, word_hashes, word_spans
 
 _NAME_L, _NAME_R, _RUN = np.uint64(0x9E6C63D0876A9A47), np.uint64(0xC13FA9A902A6328F), np.uint64(0x91E10DA5C79E7B1D)
 
@@ -60,11 +60,11 @@ def _docs_of(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def _window_hashes(words: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit polynomial hashes of the windows."""
+def _window_hashes(words: np.ndarray, others: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit polynomial hashes of the windows, each over word hashes of its own."""
     out = []
-    for base in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5):
-        a = mix64(words ^ np.uint64(base))
+    for base, own in ((0xD1342543DE82EF95, words), (0xAF251AF3B0F025B5, others)):
+        a = mix64(own ^ np.uint64(base))
         h = np.zeros(len(starts), np.uint64)
         for k in range(window):
             h = h * np.uint64(base) + a[starts + k]
@@ -127,11 +127,11 @@ def substring_dedup(docs: DataFrame, window: int = 35, rounds: int = 5, most_byt
         for b in batches:
             at = b.column(2)
             for i, j, buf, bounds in text_pieces(b.column(1)):
-                words, _, _, first = word_hashes(buf, bounds, lower=False)
+                words, ws, we, first = word_hashes(buf, bounds, lower=False)
                 own = at.slice(i, j - i)
                 n = np.diff(own.offsets.to_numpy())
                 where = own.flatten().to_numpy()
-                h1, h2 = _window_hashes(words, np.repeat(first[:-1], n) + where, window)
+                h1, h2 = _window_hashes(words, other_hashes(buf, ws, we), np.repeat(first[:-1], n) + where, window)
                 yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(np.repeat(b.column(0).slice(i, j - i).to_numpy(), n)), pa.array(where)], names=["h1", "h2", "key", "at"])
 
     windows = judged.where("text is not null").select("key", "text", "at").mapInArrow(hashed, "h1 long, h2 long, key long, at int")

@@ -1,13 +1,21 @@
-"""Vectorised 64-bit word hashes over the bytes of many texts at once."""
+"""Vectorised 64-bit word hashes over the bytes of many texts at once.
+
+Short words are hashed as polynomials modulo 2^64 of random byte values. In such a hash long structured words
+collide whatever the base (those of Thue and Morse), so words of more than 64 bytes are hashed by xxh3.
+"""
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
+_OTHER_BASE = 0xC2B2AE3D27D4EB4F
 _SPAN = 1 << 20
+_LONG = 64
+_LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -22,6 +30,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _VALUE_LOWER = _VALUE.copy()
 _VALUE_LOWER[65:91] = _VALUE[97:123]
+_VALUE_OTHER = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xAF251AF3B0F025B5))
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -55,7 +64,12 @@ def word_hashes(buf: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[np.nd
     return span_hashes(buf, starts, ends, _VALUE_LOWER if lower else _VALUE), starts, ends, first
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray = _VALUE) -> np.ndarray:
+def other_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A second hash of the same spans, independent of ``word_hashes`` without lower-casing."""
+    return span_hashes(buf, starts, ends, _VALUE_OTHER, _OTHER_BASE)
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray = _VALUE, base: int = _BASE) -> np.ndarray:
     """Hashes of byte spans that follow one another and don't overlap."""
     out = np.empty(len(starts), np.uint64)
     i = 0
@@ -63,10 +77,14 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SPAN, side="right")))
         at, to = starts[i], ends[j - 1]
         length = max(_SPAN, int(to - at)) + 1
-        up, down = _power("up", _BASE, length), _power("down", pow(_BASE, -1, 1 << 64), length)
+        up, down = _power(f"up {base}", base, length), _power(f"down {base}", pow(base, -1, 1 << 64), length)
         sums = np.zeros(to - at + 1, np.uint64)
         np.cumsum(value[buf[at:to]] * up[: to - at], out=sums[1:])
         s, e = starts[i:j] - at, ends[i:j] - at
         out[i:j] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         i = j
+    seed = base & 0xFFFFFFFF
+    for k in np.flatnonzero(ends - starts > _LONG):
+        span = buf[starts[k] : ends[k]].tobytes()
+        out[k] = xxhash.xxh3_64_intdigest(span.translate(_LOW) if value is _VALUE_LOWER else span, seed)
     return out
