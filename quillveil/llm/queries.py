@@ -81,6 +81,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(moved, F.col("vec_id") % 100 == 0)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import periodic_runs, planted, run_digest
+
+    return run_digest(periodic_runs(planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import prefix_counts, within_budget
+
+    return within_budget(prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), 512)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_groups, op2_line_dedup, op3_token_files, op4_mix_sources, op5_url_rules, op6_language_id, op7_ngram_groups, op8_decontamination, op9_lm_score, op10_substring_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_embedding_groups, op2_line_dedup, op3_token_files, op4_mix_sources, op5_url_rules, op6_language_id, op7_ngram_groups, op8_decontamination, op9_lm_score, op10_substring_dedup, op11_hard_negatives, op12_periodic_runs, op13_token_counts, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -88,3 +88,16 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np
         span = buf[starts[k] : ends[k]].tobytes()
         out[k] = xxhash.xxh3_64_intdigest(span.translate(_LOW) if value is _VALUE_LOWER else span, seed)
     return out
+
+
+def overlapping_hashes(buf: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the spans of ``n`` bytes from ``starts`` on, which may overlap, equal to those of ``span_hashes``."""
+    length = max(_SPAN, len(buf)) + 1
+    up, down = _power(f"up {_BASE}", _BASE, length), _power(f"down {_BASE}", pow(_BASE, -1, 1 << 64), length)
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_VALUE[buf] * up[: len(buf)], out=sums[1:])
+    out = mix64((sums[starts + n] - sums[starts]) * down[starts] + np.uint64(n))
+    if n > _LONG:
+        for k, s in enumerate(starts):
+            out[k] = xxhash.xxh3_64_intdigest(buf[s : s + n].tobytes(), _BASE & 0xFFFFFFFF)
+    return out
