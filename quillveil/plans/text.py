@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import patterns as P
 from ..operators import redaction as R
 from ..operators import reports as A
 from ..operators import tfidf as I
@@ -173,17 +174,23 @@ w AS (SELECT doc_id, tok, idf / sqrt(sum(idf * idf) OVER (PARTITION BY doc_id))
 sig AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS s FROM w a JOIN w b ON a.tok = b.tok AND a.doc_id < b.doc_id GROUP BY 1, 2)"""
 
 
+def _signature_tokens() -> Column:
+    return R.signature_tokens(F.col("text"), [X.EMAIL, X.PHONE], ["license", "password", "copyright", "all rights reserved"])
+
+
 def _signature_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    phrases = ["license", "password", "copyright", "all rights reserved"]
-    toks = R.signature_tokens(F.col("text"), [X.EMAIL, X.PHONE], phrases)
-    counts = docs.select("doc_id", F.explode(toks).alias("term")).withColumn("tf", F.lit(1))
+    counts = docs.select("doc_id", F.explode(_signature_tokens()).alias("term")).withColumn("tf", F.lit(1))
     model = I.fit(counts, docs.agg(F.countDistinct("doc_id").alias("n")), [])
     return I.weigh(counts, model, [], ["doc_id"], binary=True)
 
 
 def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.pair_scores(_signature_weights(spark, sf_dir), "doc_id")
+    docs = read(spark, sf_dir, "documents")
+    terms = docs.select("doc_id", F.explode(_signature_tokens()).alias("term"))
+    model = I.fit(terms, docs.agg(F.countDistinct("doc_id").alias("n")), [])
+    members, classes, light, heavy = P.term_classes(terms, "doc_id", model)
+    return P.row_scores(members, "doc_id", P.class_scores(classes, light, heavy))
 
 
 @query(_SIG + " SELECT a, b, round(s, 6) AS score FROM sig")
