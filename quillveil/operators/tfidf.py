@@ -10,10 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reports import written
 
-def term_counts(docs: DataFrame, keys: list[str], terms: Column, upto: int = 1) -> DataFrame:
+
+def term_counts(docs: DataFrame, keys: list[str], terms: Column, upto: int = 1, hashed: bool = False) -> DataFrame:
     """(keys, term, tf) of a list of terms, or of all space-joined runs of one to ``upto`` of them; counts
-    combine before they shuffle."""
+    combine before they shuffle.
+
+    With ``hashed`` a term is told by its 64-bit hash, so that what shuffles has a fixed small width. Of n distinct terms
+    two have one hash with a probability of n * n / 2**65; they would count as one term.
+    """
     if upto == 1:
         rows = docs.select(*keys, F.explode(terms).alias("term"))
     else:  # rows of a term and its followers, so that runs are joined in generated code
@@ -22,6 +28,8 @@ def term_counts(docs: DataFrame, keys: list[str], terms: Column, upto: int = 1)
         runs = listed.select(*keys, F.explode(F.arrays_zip(*map(rest, range(upto)))).alias("_r"))
         run = lambda n: F.when(F.col(f"_r.t{n - 1}").isNotNull(), F.concat_ws(" ", *[F.col(f"_r.t{k}") for k in range(n)]))
         rows = runs.select(*keys, F.explode(F.array(*map(run, range(1, upto + 1)))).alias("term")).where("term is not null")
+    if hashed:
+        rows = rows.withColumn("term", F.xxhash64("term"))
     return rows.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
@@ -35,10 +43,15 @@ def fit(counts: DataFrame, sizes: DataFrame, group: list[str], max_df: float = 1
     return joined.where(F.col("df") <= max_df * F.col("n")).select(*group, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def weights(counts: DataFrame, model: DataFrame, group: list[str], keys: list[str], binary: bool = False) -> DataFrame:
+    """(keys, term, w) before rows get length 1; terms outside the model are dropped."""
+    tf = F.lit(1.0) if binary else 1 + F.log("tf")
+    return counts.join(model, [*group, "term"]).select(*keys, "term", (tf * F.col("idf")).alias("w"))
+
+
 def weigh(counts: DataFrame, model: DataFrame, group: list[str], keys: list[str], binary: bool = False) -> DataFrame:
     """(keys, term, weight) with unit rows; terms outside the model are dropped."""
-    tf = F.lit(1.0) if binary else 1 + F.log("tf")
-    raw = counts.join(model, [*group, "term"]).select(*keys, "term", (tf * F.col("idf")).alias("w"))
+    raw = weights(counts, model, group, keys, binary)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
     return raw.select(*keys, "term", (F.col("w") / norm).alias("w"))
 
@@ -50,6 +63,32 @@ def scores(queries: DataFrame, docs: DataFrame, on: list[str], query_keys: list[
     return q.join(docs, [*on, "term"]).groupBy(*keys).agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
 
 
+def cosines(queries: DataFrame, counts: DataFrame, model: DataFrame, on: list[str], query_keys: list[str], doc_keys: list[str]) -> DataFrame:
+    """Like ``scores`` from the documents' term counts, in a written table.
+
+    Documents' lengths are summed by document; only the terms that queries hold go on to be scored.
+    """
+    raw = weights(counts, model, on, list(dict.fromkeys([*on, *doc_keys])))
+    keys = list(dict.fromkeys([*on, *doc_keys]))
+    norms = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    found = scores(weigh(queries, model, on, list(dict.fromkeys([*on, *query_keys]))), raw, on, query_keys, doc_keys)
+    return written(found.join(norms, keys).withColumn("score", F.col("score") / F.col("_norm")).drop("_norm"))
+
+
+def first_relevant(scored: DataFrame, relevant: DataFrame, by: list[str], doc: str, most: int = 1_000_000) -> DataFrame:
+    """(by, first_rank, total): the rank of a query's best relevant document, and how many it scored at all.
+
+    Scores to nine digits come first, ties by smaller ``doc``. Nothing is ranked: what beats a query's best relevant
+    document is counted, and counts combine before they shuffle. ``relevant`` has (by or some of it, doc).
+    """
+    on = [c for c in relevant.columns if c in (*by, doc)]
+    place = F.struct(F.round("score", 9).alias("score"), (-F.col(doc)).alias("doc"))
+    best = written(scored.join(relevant.select(on).distinct(), on).groupBy(*by).agg(F.max(place).alias("_best"), F.count("*").alias("total")))
+    small = F.broadcast(best) if best.count() <= most else best
+    above = scored.join(small, by).where(place >= F.col("_best"))
+    return above.groupBy(*by).agg(F.count("*").alias("first_rank"), F.first("total").alias("total"))
+
+
 def pair_scores(weights: DataFrame, key: str) -> DataFrame:
     """Cosines of all pairs a < b of rows that share a term, through the inverted index."""
     a, b = weights.select(F.col(key).alias("a"), "term", F.col("w").alias("wa")), weights.select(F.col(key).alias("b"), "term", F.col("w").alias("wb"))

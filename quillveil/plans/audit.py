@@ -246,10 +246,10 @@ def context_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     asked = items.select("item_id", words.alias("w")).select("item_id", F.explode(F.array(*[F.struct(F.lit(k).alias("query_type"), F.array_join(F.slice("w", 1, n), " ").alias("text")) for k, n in _TYPES.items()])).alias("x")).select("item_id", "x.*")
-    counts = I.term_counts(docs, ["doc_id"], X.tokens(F.col("text"), X.PORTABLE), 3)
+    terms = X.tokens(F.col("text"), X.PORTABLE)
+    counts = I.term_counts(docs, ["doc_id"], terms, 3, hashed=True)
     model = I.fit(counts, docs.agg(F.count("*").alias("n")), [], max_df=0.9)
-    queries = I.weigh(I.term_counts(asked, ["query_type", "item_id"], X.tokens(F.col("text"), X.PORTABLE), 3), model, [], ["query_type", "item_id"])
-    scored = I.scores(queries, I.weigh(counts, model, [], ["doc_id"]), [], ["query_type", "item_id"], ["doc_id"])
+    scored = I.cosines(I.term_counts(asked, ["query_type", "item_id"], terms, 3, hashed=True), counts, model, [], ["query_type", "item_id"], ["doc_id"])
     top = I.ranked(scored, ["query_type", "item_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")]).where("rank <= 10")
     top = top.join(passages_held(docs, items).withColumn("held", F.lit(1)), ["item_id", "doc_id"], "left").fillna({"held": 0})
     t = top.groupBy("query_type", "item_id").agg(F.count("*").alias("n_docs"), F.sum("held").alias("held"), F.min(F.when(F.col("held") == 1, F.col("rank"))).alias("first_rank"))

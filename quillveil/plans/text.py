@@ -10,6 +10,7 @@ from ..operators import patterns as P
 from ..operators import redaction as R
 from ..operators import reports as A
 from ..operators import tfidf as I
+from ..operators.reports import written
 from . import read
 
 QUERIES: dict = {}
@@ -25,18 +26,27 @@ _GRAMS = "unnest(flatten(list_transform([" + _TOK + "], lambda w: list_concat(li
 def passages_held(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id) where a document's text holds a passage's text.
 
-    A passage's second to fifth word stand whole in each text that holds it; their hash finds the few
-    pairs whose texts are compared. Passages of fewer than six words are sought in all texts.
+    A passage's second to fifth word stand whole in each text that holds it; their hash finds the few pairs whose
+    texts are compared. A passage of three to five words has its second word whole. Shorter ones needn't hold a whole
+    word at all: they make one automaton that is passed over each text.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    four = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(4)])
+    run = lambda w, i, n: F.xxhash64(F.lit(n), *[F.get(w, i + k) for k in range(n)])
     items = items.select("item_id", F.col("text").alias("passage")).withColumn("w", words(F.col("passage")))
-    long = items.where(F.size("w") >= 6).select("item_id", "passage", four(F.col("w"), F.lit(1)).alias("h"))
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), lambda i: four(F.col("w"), i))
-    found = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(runs)).alias("h")).join(long.select("item_id", "h"), "h").select("item_id", "doc_id").distinct()
-    pairs = found.join(docs.select("doc_id", "text"), "doc_id").join(long.drop("h"), "item_id")
-    short = docs.select("doc_id", "text").join(items.where(F.size("w") < 6).drop("w"), F.contains("text", "passage"))
-    return pairs.where(F.contains("text", "passage")).select("item_id", "doc_id").union(short.select("item_id", "doc_id"))
+    size = F.size("w")
+    sought = items.where(size >= 3).select("item_id", "passage", F.when(size >= 6, run(F.col("w"), F.lit(1), 4)).otherwise(run(F.col("w"), F.lit(1), 1)).alias("h"))
+    lengths = [n for n, some in ((4, size >= 6), (1, size.between(3, 5))) if not items.where(some).isEmpty()]
+    every = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda i: run(F.col("w"), i, n))
+    runs = F.flatten(F.array(*map(every, lengths))) if lengths else F.array().cast("array<long>")
+    found = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(runs)).alias("h")).join(sought.select("item_id", "h"), "h").select("item_id", "doc_id").distinct()
+    pairs = found.join(docs.select("doc_id", "text"), "doc_id").join(sought.drop("h"), "item_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
+    short = items.where(size < 3)
+    if short.isEmpty():
+        return pairs
+    hits = P.phrases_in(docs, ["doc_id"], "text", short, "passage").withColumnRenamed("phrase", "passage").join(short.select("item_id", "passage"), "passage").select("item_id", "doc_id")
+    empty = docs.where("text is not null").select("doc_id").crossJoin(F.broadcast(short.where("passage = ''").select("item_id"))) if not short.where("passage = ''").isEmpty() else None
+    out = pairs.union(hits)
+    return out.union(empty.select("item_id", "doc_id")) if empty is not None else out
 
 
 def query(sql: str | None = None):
@@ -99,10 +109,18 @@ def _weights(spark: SparkSession, sf_dir: str, max_df: float) -> tuple[DataFrame
     return I.weigh(counts, model, [], ["doc_id"]), I.weigh(queries, model, [], ["item_id"])
 
 
-def _ranks(spark: SparkSession, sf_dir: str, max_df: float) -> DataFrame:
-    docs, queries = _weights(spark, sf_dir, max_df)
-    scored = I.scores(queries, docs, [], ["item_id"], ["doc_id"])
-    return I.ranked(scored, ["item_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")])
+def _scored(spark: SparkSession, sf_dir: str, max_df: float) -> DataFrame:
+    """(item_id, doc_id, score) of all documents that share a term with an item."""
+    docs = read(spark, sf_dir, "documents")
+    terms = X.tokens(F.col("text"), X.PORTABLE)
+    counts = I.term_counts(docs, ["doc_id"], terms, 3, hashed=True)
+    model = I.fit(counts, docs.agg(F.count("*").alias("n")), [], max_df=max_df)
+    queries = I.term_counts(read(spark, sf_dir, "benchmark"), ["item_id"], terms, 3, hashed=True)
+    return I.cosines(queries, counts, model, [], ["item_id"], ["doc_id"])
+
+
+def _best(scored: DataFrame, by: list[str], n: int) -> DataFrame:
+    return I.ranked(scored, by, [F.desc(F.round("score", 9)), F.asc("doc_id")]).where(F.col("rank") <= n)
 
 
 @query(_tfidf(0.65) + """
@@ -114,7 +132,7 @@ def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_tfidf(0.65) + " SELECT item_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM k WHERE rank <= 5")
 def tfidf_topk_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranks(spark, sf_dir, 0.65).where("rank <= 5").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return _best(_scored(spark, sf_dir, 0.65), ["item_id"], 5).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(_tfidf(0.9) + """,
@@ -126,11 +144,12 @@ SELECT count(*) AS n_queries, round(avg(h1), 6) AS hit_at_1, round(avg(h5), 6) A
 FROM p WHERE total > 0""")
 def retrieval_hit_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    relevant = passages_held(docs, items).withColumn("relevant", F.lit(True))
-    ranks = _ranks(spark, sf_dir, 0.9).select("item_id", "doc_id", "rank").join(relevant, ["item_id", "doc_id"], "left").fillna({"relevant": False})
-    m = I.retrieval_metrics(ranks, ["item_id"]).where("first_rank is not null")
-    names = {"hit_at_1": "hit_at_1", "hit_at_5": "hit_at_5", "hit_at_10": "hit_at_10", "multi_at_10": "multi_at_10", "recall_at_10": "recall_at_10", "reciprocal_rank": "mrr"}
-    return m.agg(F.count("*").alias("n_queries"), *[F.round(F.avg(a), 6).alias(b) for a, b in names.items()])
+    relevant = written(passages_held(docs, items))
+    scored = _scored(spark, sf_dir, 0.9)
+    found = _best(scored, ["item_id"], 10).join(relevant, ["item_id", "doc_id"]).groupBy("item_id").agg(F.count("*").alias("found"))
+    m = I.first_relevant(scored, relevant, ["item_id"], "doc_id").join(found, "item_id", "left").fillna({"found": 0})
+    within = lambda k: F.round(F.avg((F.col("first_rank") <= k).cast("int")), 6)
+    return m.agg(F.count("*").alias("n_queries"), within(1).alias("hit_at_1"), within(5).alias("hit_at_5"), within(10).alias("hit_at_10"), F.round(F.avg((F.col("found") >= 2).cast("int")), 6).alias("multi_at_10"), F.round(F.avg(F.col("found") / F.col("total")), 6).alias("recall_at_10"), F.round(F.avg(1 / F.col("first_rank")), 6).alias("mrr"))
 
 
 @query(f"""
@@ -329,14 +348,12 @@ def exposure_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = F.array(*[F.struct(F.lit(k).alias("condition"), (F.replace("text", F.lit(old), F.lit(new)) if old else F.col("text")).alias("text")) for k, (old, new) in _CONDITIONS.items()])
     every = docs.select("doc_id", F.explode(options).alias("o")).select("doc_id", "o.condition", "o.text")
     terms = X.tokens(F.col("text"), X.PORTABLE)
-    counts = I.term_counts(every, ["condition", "doc_id"], terms, 3)
+    counts = I.term_counts(every, ["condition", "doc_id"], terms, 3, hashed=True)
     model = I.fit(counts, every.groupBy("condition").agg(F.count("*").alias("n")), ["condition"], max_df=0.9)
     items = read(spark, sf_dir, "benchmark")
-    asked = I.term_counts(items, ["item_id"], terms, 3).crossJoin(F.broadcast(every.select("condition").distinct()))
-    scored = I.scores(I.weigh(asked, model, ["condition"], ["condition", "item_id"]), I.weigh(counts, model, ["condition"], ["condition", "doc_id"]), ["condition"], ["item_id"], ["doc_id"])
-    ranks = I.ranked(scored, ["condition", "item_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")])
-    relevant = passages_held(docs, items)
-    first = ranks.join(relevant, ["item_id", "doc_id"]).groupBy("condition", "item_id").agg(F.min("rank").alias("first_rank"))
+    asked = I.term_counts(items, ["item_id"], terms, 3, hashed=True).crossJoin(F.broadcast(every.select("condition").distinct()))  # three conditions
+    scored = I.cosines(asked, counts, model, ["condition"], ["item_id"], ["doc_id"])
+    first = I.first_relevant(scored, passages_held(docs, items), ["condition", "item_id"], "doc_id")
     within = lambda k: F.round(F.avg((F.col("first_rank") <= k).cast("int")), 6)
     return first.groupBy("condition").agg(F.count("*").alias("n_queries"), within(1).alias("hit_at_1"), within(5).alias("hit_at_5"), F.round(F.avg(1 / F.col("first_rank")), 6).alias("mrr"))
 
