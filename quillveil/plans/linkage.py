@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import kanon as K
 from ..operators import linkage as L
+from ..operators import neighbours as N
 from ..operators.reports import numbered
 from . import read
 
@@ -150,20 +151,21 @@ def combos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STEP = "round((-ln((c_{f} + 0.5) / (total + 0.5 * v_{f})) + {p} + 1) / {d}, 9)"
+_BASE = """SELECT c_nationkey AS nation, n_regionkey AS nation_coarse, c_mktsegment AS segment, CASE WHEN c_mktsegment < 'G' THEN 'first' ELSE 'second' END AS segment_coarse, floor(c_acctbal / 2000)::INT AS band, band >= 2 AS band_coarse
+  FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 
 
-def _plan_sql(levels: tuple[int, ...]) -> str:
+def _plan_sql(levels: tuple[int, ...], base: str = _BASE, fields: dict[str, tuple[float, float]] = _FIELDS) -> str:
     score = lambda f, p, c, lv: f"SELECT combo, '{f}' AS field, {lv} AS level, {_STEP.format(f=f, p=p, d=max(c * (1 + 0.8 * (lv - 1)), 0.1))} AS score FROM h"
     coarse = lambda f: f"WHEN a.{f}_coarse = q.{f}_coarse THEN w.{f}_1 " if 1 in levels else ""
-    return f"""WITH b AS (SELECT c_nationkey AS nation, n_regionkey AS nation_coarse, c_mktsegment AS segment, CASE WHEN c_mktsegment < 'G' THEN 'first' ELSE 'second' END AS segment_coarse, floor(c_acctbal / 2000)::INT AS band
-  FROM customer JOIN nation ON c_nationkey = n_nationkey),
-g AS (SELECT *, band >= 2 AS band_coarse, nation || '|' || segment || '|' || band AS combo, count(*) AS n FROM b GROUP BY ALL),
-h AS (SELECT *, sum(n) OVER () AS total, {", ".join(f"sum(n) OVER (PARTITION BY {f}) AS c_{f}, (SELECT count(DISTINCT {f}) FROM b) AS v_{f}" for f in _FIELDS)} FROM g),
-s AS (SELECT combo, field, level, row_number() OVER (PARTITION BY combo ORDER BY score DESC, field DESC, level) AS step FROM ({" UNION ALL ".join(score(f, p, c, lv) for f, (p, c) in _FIELDS.items() for lv in levels)})),
-w AS (SELECT combo, {", ".join(f"max(step) FILTER (WHERE field = '{f}' AND level = {lv}) AS {f}_{lv}" for f in _FIELDS for lv in levels)} FROM s GROUP BY combo),
-d AS (SELECT a.combo, q.n, greatest({", ".join(f"CASE WHEN a.{f} = q.{f} THEN 0 {coarse(f)}ELSE w.{f}_2 END" for f in _FIELDS)}) AS need FROM g a JOIN w ON w.combo = a.combo, g q),
+    return f"""WITH b AS ({base}),
+g AS (SELECT *, concat_ws('|', {", ".join(fields)}) AS combo, count(*) AS n FROM b GROUP BY ALL),
+h AS (SELECT *, sum(n) OVER () AS total, {", ".join(f"sum(n) OVER (PARTITION BY {f}) AS c_{f}, (SELECT count(DISTINCT {f}) FROM b) AS v_{f}" for f in fields)} FROM g),
+s AS (SELECT combo, field, level, row_number() OVER (PARTITION BY combo ORDER BY score DESC, field DESC, level) AS step FROM ({" UNION ALL ".join(score(f, p, c, lv) for f, (p, c) in fields.items() for lv in levels)})),
+w AS (SELECT combo, {", ".join(f"max(step) FILTER (WHERE field = '{f}' AND level = {lv}) AS {f}_{lv}" for f in fields for lv in levels)} FROM s GROUP BY combo),
+d AS (SELECT a.combo, q.n, greatest({", ".join(f"CASE WHEN a.{f} = q.{f} THEN 0 {coarse(f)}ELSE w.{f}_2 END" for f in fields)}) AS need FROM g a JOIN w ON w.combo = a.combo, g q),
 k AS (SELECT combo, need, (sum(sum(n)) OVER (PARTITION BY combo ORDER BY need))::BIGINT AS k FROM d GROUP BY combo, need),
-t AS (SELECT combo, coalesce(min(need) FILTER (WHERE k >= 20), {len(levels) * len(_FIELDS)})::INT AS n_steps, coalesce(min(k) FILTER (WHERE k >= 20), max(k)) AS estimated_k FROM k GROUP BY combo)"""
+t AS (SELECT combo, coalesce(min(need) FILTER (WHERE k >= 20), {len(levels) * len(fields)})::INT AS n_steps, coalesce(min(k) FILTER (WHERE k >= 20), max(k)) AS estimated_k FROM k GROUP BY combo)"""
 
 
 _PLAN = _plan_sql((1, 2))
@@ -182,6 +184,35 @@ def k_plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stop.agg(F.min("estimated_k").alias("min_k"), F.median("estimated_k").alias("median_k"), F.round(F.avg((F.col("estimated_k") >= 20).cast("int")), 6).alias("coverage"), F.round(F.avg("n_steps"), 6).alias("mean_steps"), F.max("n_steps").alias("max_steps"))
 
 
+#: Eleven fields of a customer: prior and cost, the exact value and the coarse one.
+_ELEVEN = {
+    "nation": (2.0, 0.3, "c_nationkey", "n_regionkey"), "segment": (1.0, 0.8, "c_mktsegment", "CASE WHEN c_mktsegment < 'G' THEN 'first' ELSE 'second' END"),
+    "band": (1.5, 0.5, "floor(c_acctbal / 500)", "floor(c_acctbal / 2500)"), "orders": (0.8, 0.6, "n", "floor(n / 5)"), "spent": (1.2, 0.7, "floor(largest / 20000)", "floor(largest / 100000)"),
+    "smallest": (0.9, 0.9, "floor(least / 20000)", "floor(least / 100000)"), "first_month": (0.7, 0.4, "12 * year(first_day) + month(first_day)", "year(first_day)"), "last_month": (0.6, 0.5, "12 * year(last_day) + month(last_day)", "year(last_day)"),
+    "urgent": (1.1, 0.8, "urgent", "urgent > 1"), "open": (0.5, 1.0, "open", "open > 2"), "weekday": (0.4, 0.9, "day(first_day)", "floor(day(first_day) / 11)"),
+}
+_ORDERED = "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS largest, min(o_totalprice) AS least, min(o_orderdate) AS first_day, max(o_orderdate) AS last_day, sum(CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) AS urgent, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS open"
+_ELEVEN_BASE = "SELECT " + ", ".join(f"{e} AS {f}, {c} AS {f}_coarse" for f, (_, _, e, c) in _ELEVEN.items()) + f" FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN ({_ORDERED} FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey"
+_ELEVEN_COSTS = {f: (p, c) for f, (p, c, _, _) in _ELEVEN.items()}
+
+
+def eleven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Combinations of eleven fields of customers with orders."""
+    read(spark, sf_dir, "orders").createOrReplaceTempView("_orders")
+    o = spark.sql(f"{_ORDERED} FROM _orders GROUP BY o_custkey")
+    c = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(o, F.col("o_custkey") == F.col("c_custkey"))
+    rows = c.select(*[F.expr(x).alias(name) for f, (_, _, e, low) in _ELEVEN.items() for x, name in ((e, f), (low, f"{f}_coarse"))])
+    grouped = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    return grouped.withColumn("combo", F.concat_ws("|", *[F.col(f).cast("string") for f in _ELEVEN]))
+
+
+@query(_plan_sql((1, 2), _ELEVEN_BASE, _ELEVEN_COSTS) + """ SELECT n_steps, count(*) AS n_combos, min(estimated_k) AS min_k, max(estimated_k) AS max_k, sum(estimated_k)::BIGINT AS sum_k FROM t GROUP BY n_steps""")
+def k_plan_eleven_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans over eleven fields with two levels each: how many combinations stop after each number of steps."""
+    stop, _ = K.plan(eleven(spark, sf_dir), _ELEVEN_COSTS, 20)
+    return stop.groupBy("n_steps").agg(F.count("*").alias("n_combos"), F.min("estimated_k").alias("min_k"), F.max("estimated_k").alias("max_k"), F.sum("estimated_k").alias("sum_k"))
+
+
 @query(_plan_sql((2,)) + " SELECT combo, estimated_k, n_steps FROM t")
 def k_plan_suppression_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A field is kept or suppressed, never generalized."""
@@ -235,6 +266,28 @@ def extend_candidate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "cand"))), lambda x: x["cand"].cast("string")), ",").alias("candidate_ids"))
 
 
+#: Thirteen fields of a supplier: the weight of agreeing on it, and its value from the supplier's row and line items.
+_PROFILE = {
+    "region": (1.5, "n_regionkey"), "nation": (1.0, "s_nationkey"), "band": (1.0, "floor(s_acctbal / 2000)"), "balance": (1.0, "floor(s_acctbal / 500)"), "lines": (1.0, "floor(n / 20)"),
+    "returned": (1.0, "floor(100 * returned / n)"), "open": (1.0, "floor(100 * open / n)"), "quantity": (1.0, "floor(quantity / n)"), "cheap": (1.0, "floor(100 * cheap / n)"), "taxed": (1.0, "floor(100 * taxed / n)"),
+    "orders": (1.0, "floor(orders / 20)"), "first_month": (1.0, "month(first_ship)"), "last_day": (1.0, "day(last_ship)"),
+}
+_SUMS = "count(*) AS n, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS returned, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS open, sum(l_quantity) AS quantity, sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS cheap, sum(CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END) AS taxed, count(DISTINCT l_orderkey) AS orders, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship"
+
+
+@query(f"""WITH i AS (SELECT l_suppkey, {_SUMS} FROM lineitem GROUP BY 1),
+s AS (SELECT s_suppkey AS id, ('0x' || substring(sha256('7:' || s_suppkey), 1, 12))::BIGINT AS place, {", ".join(f"{e} AS {f}" for f, (_, e) in _PROFILE.items())} FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN i ON l_suppkey = s_suppkey),
+p AS (SELECT a.id, b.id AS cand, {" + ".join(f"coalesce(CASE WHEN a.{f} = b.{f} THEN {w}::DOUBLE END, 0)" for f, (w, _) in _PROFILE.items())} AS overlap, (b.place - a.place + 281474976710656) % 281474976710656 AS ahead FROM s a JOIN s b ON a.id <> b.id)
+SELECT id, cand, overlap, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, ahead, cand) AS rank FROM p) WHERE rank <= 9""")
+def nearest_by_thirteen_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nine suppliers that agree with each supplier on most of thirteen fields, the region counting half more."""
+    read(spark, sf_dir, "lineitem").createOrReplaceTempView("_lines")
+    sums = spark.sql(f"SELECT l_suppkey, {_SUMS} FROM _lines GROUP BY l_suppkey")
+    s = read(spark, sf_dir, "supplier").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).join(sums, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    rows = s.select(F.col("s_suppkey").alias("id"), *[F.expr(e).alias(f) for f, (_, e) in _PROFILE.items()])
+    return N.nearest_by_fields(rows, "id", {f: w for f, (w, _) in _PROFILE.items()}, 9)
+
+
 _FIELD = """WITH t AS (SELECT c_custkey, c_nationkey, 'client of ' || CASE WHEN c_custkey % 3 = 0 THEN n_name WHEN c_custkey % 3 = 1 THEN r_name ELSE 'somewhere' END || ' buying ' || CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE 'goods' END AS text, c_mktsegment
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 c AS (SELECT t.c_custkey, n.n_nationkey AS cand, t.c_nationkey,
