@@ -91,7 +91,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
         if (sizes.agg(F.max("n")).first()[0] or 0) <= 1:
             break
         open_ = left.join(sizes.toDF("s", "n"), F.col("source").eqNullSafe(F.col("s"))).select("source", "n", "x")
-    last = left.select("x.u.id", "source", "x.u.size", F.when(F.col("x.p") >= 0.5, 1).otherwise(0).alias("copy"))  # one unit of a source
+    last = left.select("x.u.id", "source", "x.u.size", drawn(F.col("x.u.h"), F.col("x.p")).alias("copy"))  # one unit of a source
     for part in [*settled, last]:
         certain = certain.union(part)
     key = lambda side: F.struct(*[F.coalesce(F.col(f"{side}.{c}"), F.lit(z)) for c, z in (("id", 0), ("source", ""), ("size", 0))], F.col(f"{side}.id").isNull(), F.col(f"{side}.source").isNull())

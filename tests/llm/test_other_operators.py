@@ -128,6 +128,51 @@ def test_mined_rules_match_brute_force(spark):
     assert {r.url: r.confidence for r in blocked_urls(urls, rules).collect()} == want
 
 
+def test_rules_are_confirmed_on_other_urls(spark):
+    """By chance alone no rule stays; one that holds in both halves does, with the bound on its chance."""
+    from quillveil.llm.url_rules import confirmed, mine
+
+    rng = np.random.default_rng(7)
+    url = lambda k: f"http://h{k}.net/{'/'.join(f't{t}' for t in np.flatnonzero(rng.random(12) < 0.4))}"
+    rows = [(url(k), bool(rng.random() < 0.3), k % 2) for k in range(800)]
+    rows = [(f"{u}/casino", True, h) if k % 20 in (0, 1) else (u, b, h) for k, (u, b, h) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "url string, bad boolean, half int")
+    mined = mine(df.where("half = 0").drop("half"))
+    kept = {tuple(sorted(r.rule_tokens)): r for r in confirmed(mined, df.where("half = 1").drop("half")).collect()}
+    assert ("casino",) in kept and all("casino" in k for k in kept) and mined.count() > len(kept)
+    other = [b for u, b, h in rows if h]
+    p, r = sum(other) / len(other), kept["casino",]
+    assert (r.tried, r.hits) == (40, 40) and r.chance == pytest.approx(p**40)
+    assert confirmed(mined, df.limit(0).drop("half")).count() == 0
+
+
+def test_language_sizes_match_plain_compression(spark):
+    import zstandard
+
+    from quillveil.llm.language_id import fit, identify
+
+    rng = np.random.default_rng(2)
+    stems = {k: ["".join(rng.choice([*s], rng.integers(2, 7))) for _ in range(60)] for k, s in (("aa", "aeioutrs"), ("bb", "zykwxhjq"), ("cc", "mnplbdgaei"), ("dd", "éàçèstru"))}
+    text = lambda k, n: " ".join(rng.choice(stems[k], n))
+    docs = [(n, text(k, int(rng.integers(3, 400))), k, "a") for n, k in enumerate([*stems] * 30)] + [(900, text("aa", 3000) + text("bb", 10), "aa", "a")]
+    df = frame(spark, docs)
+    model = fit(df, F.col("doc_id") < 60)
+    assert sorted(model) == sorted(stems)
+    pack = lambda raw, d: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=3, write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw))
+    right = 0
+    for r in identify(df, model).collect():
+        raw = r.text.lower().encode()
+        sizes = {}
+        for k, d in model.items():
+            step = -(-len(d) // 8)
+            used = [d] if len(raw) > 512 else [d, *(d[i : i + step] for i in range(0, len(d), step))]
+            sizes[k] = sum(pack(raw[i : i + 2048], x) for x in used for i in range(0, len(raw), 2048))
+        first, second = sorted(sizes.values())[:2]
+        assert sizes[r.lang_pred] == first and r.score == pytest.approx(1 - first / second) and r.rejected == (r.score < 0.001)
+        right += r.doc_id >= 60 and r.lang_pred == r.lang
+    assert right >= 0.95 * 61
+
+
 def test_decontamination(spark):
     from quillveil.llm.decontamination import overlaps
 
