@@ -77,12 +77,13 @@ def test_masks_fall_in_weight():
     assert [w for w, _ in lots] == sorted((w for w, _ in lots), reverse=True)
 
 
-def test_linkage_rounds_equal_the_greedy_loop(spark):
+@pytest.mark.parametrize("few", [512, 9])
+def test_linkage_rounds_equal_the_greedy_loop(spark, few):
     rng = np.random.default_rng(6)
     rows = [(100 * g + k, g, int(rng.integers(0, 4)), rng.normal(size=5).tolist()) for g in range(2) for k in range(25)]
     df = spark.createDataFrame(rows, "id long, tier long, label int, v array<double>")
     got = defaultdict(lambda: defaultdict(set))
-    for r in L.fixed_k_clusters(df, "tier", "id", "v", "label").collect():
+    for r in L.fixed_k_clusters(df, "tier", "id", "v", "label", few).collect():
         got[r.tier][r.cluster].add(r.id)
     for g in range(2):
         own = [r for r in rows if r[1] == g]
@@ -92,7 +93,8 @@ def test_linkage_rounds_equal_the_greedy_loop(spark):
         assert sorted(map(sorted, got[g].values())) == sorted(sorted(own[i][0] for i in np.flatnonzero(labels == c)) for c in set(labels))
 
 
-def test_every_merge_is_of_a_nearest_pair(spark):
+@pytest.mark.parametrize("few", [512, 1])
+def test_every_merge_is_of_a_nearest_pair(spark, few):
     """With many ties: in order of height every merge joins clusters that no pair is nearer than."""
     rng = np.random.default_rng(2)
     n = 24
@@ -100,8 +102,8 @@ def test_every_merge_is_of_a_nearest_pair(spark):
     d = (d + d.T).astype(float)
     d[:6, :6] = 0  # copies
     pairs = spark.createDataFrame([(0, i, j, int(d[i, j]), 1) for i in range(n) for j in range(i + 1, n)], "tier int, a long, b long, s long, m long")
-    found = sorted(L.merges(pairs, "tier").collect(), key=lambda r: (r.d, r.round))
-    assert len(found) == n - 1 and max(r.round for r in found) < 14
+    found = sorted(L.merges(pairs, "tier", few).collect(), key=lambda r: (r.d, r.round))
+    assert len(found) == n - 1 and (few > 1 or max(r.round for r in found) < 14)
     groups = {i: [i] for i in range(n)}
     for r in found:
         means = {(a, b): d[np.ix_(groups[a], groups[b])].mean() for a in groups for b in groups if a < b}
