@@ -8,11 +8,13 @@ judged one by one; ids may repeat or be null. An empty table passes through.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillveil.llm.common import id_bucket, numbered, only, settled, shared_dir, table
+from quillveil.llm.common import id_bucket, numbered, only, removed, settled, shared_dir, table, written
 from quillveil.llm.decontamination import overlaps
 from quillveil.llm.language_id import fit, identify
 from quillveil.llm.mixing import mix
@@ -20,6 +22,31 @@ from quillveil.llm.ngram_join import ngram_groups
 from quillveil.llm.queries import token_rows
 
 
+#: Tables that the last stage's result reads.
+_left: list[str] = []
+
+
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Once a stage's result is written, the next stage removes what that result was made from.
+
+    If the next one's rows still read those tables, they stay.
+    """
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {p.rsplit("/", 1)[-1] for p in _left}
+        if names and not any(names.intersection(file.split("/")) for file in docs.inputFiles()):
+            for path in [p for p in _left if p in written]:
+                removed(spark, at := written.index(path), at + 1)
+        known = set(written)
+        out = f(spark, docs, sf_dir)
+        _left[:] = [p for p in written if p not in known]
+        return out
+
+    return run_stage
+
+
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the rows whose language is rejected.
 
@@ -31,6 +58,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(~F.col(names[2])).select(*docs.columns)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of five-word shingle sets with a similarity of 0.8 or more.
 
@@ -42,6 +70,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return only(rows, dropped, row, "left_anti").select(*docs.columns)
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the rows that hold a benchmark passage; other rows with their ids stay, and so do texts without words."""
     rows, row = numbered(docs)
@@ -49,6 +78,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return only(rows, hit, row, "left_anti").select(*docs.columns)
 
 
+@stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out rows as the mix takes them.
 
@@ -60,6 +90,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return both.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_doc.*")
 
 
+@stage
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the token files and return what reading them back gives for each row.
 
