@@ -196,12 +196,17 @@ _ELEVEN_BASE = "SELECT " + ", ".join(f"{e} AS {f}, {c} AS {f}_coarse" for f, (_,
 _ELEVEN_COSTS = {f: (p, c) for f, (p, c, _, _) in _ELEVEN.items()}
 
 
-def eleven(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Combinations of eleven fields of customers with orders."""
+def eleven_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key, name and eleven fields, exact and coarse, of customers with orders."""
     read(spark, sf_dir, "orders").createOrReplaceTempView("_orders")
     o = spark.sql(f"{_ORDERED} FROM _orders GROUP BY o_custkey")
     c = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(o, F.col("o_custkey") == F.col("c_custkey"))
-    rows = c.select(*[F.expr(x).alias(name) for f, (_, _, e, low) in _ELEVEN.items() for x, name in ((e, f), (low, f"{f}_coarse"))])
+    return c.select("c_custkey", "c_name", *[F.expr(x).alias(name) for f, (_, _, e, low) in _ELEVEN.items() for x, name in ((e, f), (low, f"{f}_coarse"))])
+
+
+def eleven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Combinations of eleven fields of customers with orders."""
+    rows = eleven_rows(spark, sf_dir).drop("c_custkey", "c_name")
     grouped = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
     return grouped.withColumn("combo", F.concat_ws("|", *[F.col(f).cast("string") for f in _ELEVEN]))
 
