@@ -5,12 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from quillveil.plans import audit, contexts, linkage, patterns, reports, text
+from quillveil.plans import audit, conditions, contexts, linkage, patterns, reports, text
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-NAMES = [*text.QUERIES, *linkage.QUERIES, *reports.QUERIES, *audit.QUERIES, *patterns.QUERIES, *contexts.QUERIES]
+NAMES = [*text.QUERIES, *linkage.QUERIES, *reports.QUERIES, *audit.QUERIES, *patterns.QUERIES, *contexts.QUERIES, *conditions.QUERIES]
 
 
 @pytest.fixture(scope="module")
