@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import lru_cache
+from itertools import chain
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +42,27 @@ def char_ngrams(text: Column, n: int) -> Column:
     return F.flatten(grams)
 
 
+def space_words(text: Column) -> Column:
+    """Lower-case words between white space."""
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+
+def runs_of(words: list[str]) -> Iterable[str]:
+    """In Python: all space-joined runs of one to three words."""
+    return chain(words, map(" ".join, zip(words, words[1:])), map(" ".join, zip(words, words[1:], words[2:])))
+
+
+@lru_cache(100_000)
+def _char_runs(word: str) -> tuple[str, ...]:
+    w = f" {word} "
+    return tuple(w[i : i + n] for n in (3, 4, 5) for i in range(max(len(w) - n + 1, 1)))
+
+
+def char_runs_of(words: list[str]) -> Iterable[str]:
+    """In Python: ``char_ngrams`` of three to five characters of words that are split and in lower case."""
+    return chain.from_iterable(map(_char_runs, words))
+
+
 def squeeze(text: Column) -> Column:
     """Lower case, trimmed, white space runs as one space."""
     return F.regexp_replace(F.trim(F.lower(text)), r"(?U)\s+", " ")

@@ -7,8 +7,15 @@ One implementation serves a corpus, a fit per group and unseen queries. Term wei
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .reports import written
 
@@ -75,6 +82,45 @@ def cosines(queries: DataFrame, counts: DataFrame, model: DataFrame, on: list[st
     return written(found.join(norms, keys).withColumn("score", F.col("score") / F.col("_norm")).drop("_norm"))
 
 
+def _to_first(texts: list[Iterable[str]], n: int, max_df: float) -> list[float]:
+    """Cosines of all texts' terms with those of the first one, fitted on these texts alone."""
+    counts = [Counter(t) for t in texts]
+    held = Counter(chain.from_iterable(counts))
+    idf = {c: math.log((1 + n) / (1 + c)) + 1 for c in set(held.values()) if c <= max_df * n}
+    rows = [{t: (1 + math.log(c)) * idf[held[t]] for t, c in own.items() if held[t] in idf} for own in counts]
+    norms = [math.sqrt(sum(w * w for w in r.values())) for r in rows]
+    dots = (sum(w * rows[0].get(t, 0.0) for t, w in r.items()) for r in rows)
+    return [d / (norms[0] * norm) if d else 0.0 for d, norm in zip(dots, norms, strict=True)]
+
+
+def group_cosines(texts: DataFrame, group: str, slot: str, cand: str, split: dict[str, Callable], runs: dict[str, Callable], n: int, max_df: float) -> DataFrame:
+    """(group, cand, slot, a score for each kind): cosines of a group's few texts with its own one, which has slot -1.
+
+    Each group is a fit of its own on n documents. ``split`` gives the words of a text as a column, ``runs`` the terms of these
+    words in Python. A group's texts meet as one row, so texts shuffle and terms don't; 0 for texts that share no term.
+    """
+    kinds = dict(texts.dtypes)
+    compose = lambda f: lambda x: f(x["text"])
+    sets = texts.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(slot, cand, "text"))).alias("_s"))
+    each = {slot: lambda x: x[slot], cand: lambda x: x[cand]} | {k: compose(f) for k, f in split.items()}
+    words = sets.select(group, *[F.transform("_s", f).alias(k) for k, f in each.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                out = []
+                for row in b.slice(i, 256).to_pylist():
+                    first = int(row[slot][0] == -1)  # a group may lack a text of its own
+                    scores = [_to_first([runs[k](w) for w in ([] if first else [[]]) + row[k]], n, max_df)[1:] for k in split]
+                    out += zip([row[group]] * len(scores[0]), row[cand][first:], row[slot][first:], *scores, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names=names)
+
+    names = [group, cand, slot, *split]
+    types = [words.schema[group].dataType, words.schema[cand].dataType.elementType, words.schema[slot].dataType.elementType]
+    types = [*map(to_arrow_type, types), *[pa.float64()] * len(split)]
+    return words.mapInArrow(run, f"{group} {kinds[group]}, {cand} {kinds[cand]}, {slot} {kinds[slot]}, " + ", ".join(f"{k} double" for k in split))
+
+
 def first_relevant(scored: DataFrame, relevant: DataFrame, by: list[str], doc: str, most: int = 1_000_000) -> DataFrame:
     """(by, first_rank, total): the rank of a query's best relevant document, and how many it scored at all.
 

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import parsing as P
 from ..functions import text as X
 from ..operators import redaction as R
-from ..operators import reports as A
 from ..operators import tfidf as I
 from . import read
-from .text import _GRAMS, _TOK, passages_held
+from .text import _GRAMS, _TOK, candidates, passages_held
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -175,30 +174,10 @@ h AS (SELECT q, cand, slot, unnest([{{'attack': 'word', 'score': word}}, {{'atta
 a AS (SELECT q, cand, slot, x.attack AS attack, x.score AS score FROM h)"""
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(q, cand, slot) with ten candidates for each conversation, the true one at slot 0; the texts
-    (q, slot, text), the conversation's own at -1; the conversations."""
-    turns = read(spark, sf_dir, "conversations")
-    joined = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("turn", "text")))), lambda x: x["text"]), " ")
-    convs = turns.groupBy("conv_id").agg(joined(F.col("turn") > 0).alias("body"), joined(F.col("turn") == 0).alias("profile"))
-    place, total = A.numbered(convs.select("conv_id"), "conv_id", "pos")
-    slots = place.select(F.col("conv_id").alias("q"), "pos", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("slot")).crossJoin(F.broadcast(total)).withColumn("pos", (F.col("pos") + F.col("slot") * 7) % F.col("total")).drop("total")
-    cands = slots.join(place.select("pos", F.col("conv_id").alias("cand")), "pos").select("q", "cand", "slot")
-    texts = cands.join(convs.select(F.col("conv_id").alias("cand"), F.col("profile").alias("text")), "cand").select("q", "slot", "text").union(convs.select("conv_id", F.lit(-1), "body"))
-    return cands, texts, convs
-
-
 def attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(q, cand, slot, attack, score): word, character and hybrid similarity of each candidate."""
-    cands, texts, convs = candidates(spark, sf_dir)
     text = F.coalesce("text", F.lit(""))
-    out = cands
-    chars = F.flatten(F.array(*[X.char_ngrams(text, n) for n in (3, 4, 5)]))
-    for name, terms, upto in (("word", X.tokens(text, X.PORTABLE), 3), ("char", chars, 1)):
-        counts = I.term_counts(texts, ["q", "slot"], terms, upto)
-        model = I.fit(counts, convs.select(F.col("conv_id").alias("q"), F.lit(11).alias("n")), ["q"], max_df=0.9)
-        w = I.weigh(counts, model, ["q"], ["q", "slot"])
-        out = out.join(I.scores(w.where("slot = -1").drop("slot"), w.where("slot >= 0"), ["q"], [], ["slot"]).withColumnRenamed("score", name), ["q", "slot"], "left").fillna({name: 0.0})
+    out = I.group_cosines(candidates(spark, sf_dir)[1].withColumn("text", text), "q", "slot", "cand", {"word": lambda t: X.tokens(t, X.PORTABLE), "char": X.space_words}, {"word": X.runs_of, "char": X.char_runs_of}, 11, 0.9)
     kinds = F.array(*[F.struct(F.lit(k).alias("attack"), s.alias("score")) for k, s in (("word", F.col("word")), ("char", F.col("char")), ("hybrid", 0.5 * F.col("word") + 0.5 * F.col("char")))])
     return out.select("q", "cand", "slot", F.explode(kinds).alias("x")).select("q", "cand", "slot", "x.*")
 

@@ -49,6 +49,20 @@ def passages_held(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out.union(empty.select("item_id", "doc_id")) if empty is not None else out
 
 
+def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(q, cand, slot) with ten candidates for each conversation, the true one at slot 0; the texts
+    (q, cand, slot, text), the conversation's own at -1; the conversations."""
+    turns = read(spark, sf_dir, "conversations")
+    joined = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("turn", "text")))), lambda x: x["text"]), " ")
+    convs = turns.groupBy("conv_id").agg(joined(F.col("turn") > 0).alias("body"), joined(F.col("turn") == 0).alias("profile"))
+    place, total = A.numbered(turns.select("conv_id"), "conv_id", "pos")
+    slots = place.select(F.col("conv_id").alias("q"), "pos", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("slot")).crossJoin(F.broadcast(total)).withColumn("pos", (F.col("pos") + F.col("slot") * 7) % F.col("total")).drop("total")
+    cands = slots.join(place.select("pos", F.col("conv_id").alias("cand")), "pos").select("q", "cand", "slot")
+    own = convs.select(F.col("conv_id").alias("q"), F.lit(None).cast(dict(convs.dtypes)["conv_id"]).alias("cand"), F.lit(-1).alias("slot"), F.col("body").alias("text"))
+    texts = cands.join(convs.select(F.col("conv_id").alias("cand"), F.col("profile").alias("text")), "cand").select("q", "cand", "slot", "text").union(own)
+    return cands, texts, convs
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -168,18 +182,9 @@ k AS (SELECT g.q, g.cand, coalesce(score, 0) AS score, row_number() OVER (PARTIT
 SELECT q AS conv_id, rank::INT AS rank, (rank = 1)::INT AS top1, (rank <= 3)::INT AS top3, round(score, 6) AS score_true FROM k WHERE cand = q""")
 def per_group_aux_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Match the later turns of a conversation against the first turns of ten candidates."""
-    turns = read(spark, sf_dir, "conversations")
-    joined = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("turn", "text")))), lambda x: x["text"]), " ")
-    convs = turns.groupBy("conv_id").agg(joined(F.col("turn") > 0).alias("body"), joined(F.col("turn") == 0).alias("profile"))
-    place, total = A.numbered(convs, "conv_id", "pos")
-    slots = place.select(F.col("conv_id").alias("q"), "pos", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("slot")).crossJoin(F.broadcast(total)).withColumn("pos", (F.col("pos") + F.col("slot") * 7) % F.col("total"))
-    cands = slots.drop("total").join(place.select("pos", F.col("conv_id").alias("cand")), "pos").join(convs.select(F.col("conv_id").alias("cand"), F.col("profile").alias("text")), "cand")
-    texts = cands.select("q", "slot", "text").union(convs.select("conv_id", F.lit(-1), "body"))
-    counts = I.term_counts(texts, ["q", "slot"], X.tokens(F.coalesce("text", F.lit("")), X.PORTABLE), 3)
-    model = I.fit(counts, place.select(F.col("conv_id").alias("q"), F.lit(11).alias("n")), ["q"], max_df=0.9)
-    w = I.weigh(counts, model, ["q"], ["q", "slot"])
-    scored = I.scores(w.where("slot = -1").drop("slot"), w.where("slot >= 0"), ["q"], [], ["slot"])
-    ranks = I.ranked(cands.select("q", "cand", "slot").join(scored, ["q", "slot"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))), ["q"], [F.desc(F.round("score", 9)), F.desc("cand")])
+    texts = candidates(spark, sf_dir)[1].withColumn("text", F.coalesce("text", F.lit("")))
+    scored = I.group_cosines(texts, "q", "slot", "cand", {"score": lambda t: X.tokens(t, X.PORTABLE)}, {"score": X.runs_of}, 11, 0.9)
+    ranks = I.ranked(scored, ["q"], [F.desc(F.round("score", 9)), F.desc("cand")])
     return ranks.where("cand = q").select(F.col("q").alias("conv_id"), "rank", (F.col("rank") == 1).cast("int").alias("top1"), (F.col("rank") <= 3).cast("int").alias("top3"), F.round("score", 6).alias("score_true"))
 
 
