@@ -96,9 +96,10 @@ g AS (SELECT doc_id, n, substring(w, i, n) AS gram FROM p, (SELECT unnest([3, 4,
       LATERAL (SELECT unnest(range(1, greatest(length(w) - n + 1, 1) + 1)) AS i) t)
 SELECT n, gram, count(*) AS occurrences FROM g GROUP BY n, gram HAVING count(*) >= 100""")
 def char_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    grams = F.array(*[F.struct(F.lit(n).alias("n"), X.char_ngrams(F.col("text"), n).alias("grams")) for n in (3, 4, 5)])
-    return docs.select(F.explode(grams).alias("g")).select("g.n", F.explode("g.grams").alias("gram")).groupBy("n", "gram").agg(F.count("*").alias("occurrences")).where("occurrences >= 100")
+    """N-grams stay within words, so each distinct word gives its own once, times its number."""
+    words = read(spark, sf_dir, "documents").select(F.explode(X.space_words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    grams = F.array(*[F.struct(F.lit(n).alias("n"), X.char_ngrams(F.col("w"), n).alias("grams")) for n in (3, 4, 5)])
+    return words.select("c", F.explode(grams).alias("g")).select("c", "g.n", F.explode("g.grams").alias("gram")).groupBy("n", "gram").agg(F.sum("c").alias("occurrences")).where("occurrences >= 100")
 
 
 def _tfidf(max_df: float) -> str:

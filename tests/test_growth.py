@@ -19,3 +19,13 @@ def test_group_cosines_are_those_of_term_tables(spark):
         w = I.weigh(counts, I.fit(counts, spark.createDataFrame([(1, 11), (2, 11), (3, 11)], "q long, n int"), ["q"], max_df=0.9), ["q"], ["q", "slot"])
         known = {(r.q, r.slot): r.score for r in I.scores(w.where("slot = -1").drop("slot"), w.where("slot >= 0"), ["q"], [], ["slot"]).collect()}
         assert all(abs(v[at] - known.get(k, 0.0)) < 1e-12 for k, v in got.items())
+
+
+def test_char_ngrams_are_made_from_distinct_words(spark, tmp_path):
+    from quillveil.plans import text as T
+
+    spark.createDataFrame([("aa bb aa " * 60,), ("AA\tü",), (None,)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = T.QUERIES["char_ngram_counts"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2  # words first
+    assert {(r.n, r.gram): r.occurrences for r in got.collect()} == {(3, " aa"): 121, (3, "aa "): 121, (4, " aa "): 121, (5, " aa "): 121}
