@@ -48,3 +48,16 @@ def test_decoys_hash_only_those_that_agree_most(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == sorted(con.sql(L.ORACLES[name]).fetchall())
     pairs = got._jdf.queryExecution().optimizedPlan().toString()
     assert "level" in pairs  # not all pairs of a region
+
+
+def test_nearest_needs_no_table_of_pairs(spark):
+    docs = spark.createDataFrame([(k, f"common word{k % 7} other{k % 3}" if k < 40 else "") for k in range(45)], "doc long, t string")
+    asked = spark.createDataFrame([(k, f"common word{k} other{k}") for k in range(9)] + [(99, "unseen")], "q long, t string")
+    counts = lambda d, key: I.term_counts(d, [key], X.space_words(F.col("t")), 3, hashed=True)
+    model = I.fit(counts(docs, "doc"), docs.agg(F.count("*").alias("n")), [])
+    q, d = I.weigh(counts(asked, "q"), model, [], ["q"]), I.weigh(counts(docs, "doc"), model, [], ["doc"])
+    order = [F.desc(F.round("score", 9)), F.asc("doc")]
+    known = sorted((r.q, r.rank, r.doc) for r in I.ranked(I.scores(q, d, [], ["q"], ["doc"]), ["q"], order).where("rank <= 4").collect())
+    assert len(known) == 36
+    for sizes in ((8_000_000, 4_000_000), (40, 12)):
+        assert sorted((r.q, r.rank, r.doc) for r in I.nearest(q, d, "q", "doc", 4, *sizes).collect()) == known
