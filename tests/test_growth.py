@@ -61,3 +61,21 @@ def test_nearest_needs_no_table_of_pairs(spark):
     assert len(known) == 36
     for sizes in ((8_000_000, 4_000_000), (40, 12)):
         assert sorted((r.q, r.rank, r.doc) for r in I.nearest(q, d, "q", "doc", 4, *sizes).collect()) == known
+
+
+def test_cosines_shuffle_counts_once(spark):
+    docs = [(k, f"common common word{k % 7} other{k % 3} c{k}") for k in range(30)] + [(30, ""), (31, None), (32, "one")]
+    asked = spark.createDataFrame([(k, f"common word{k} other{k} word{k}") for k in range(9)] + [(99, "unseen")], "q long, t string")
+    words, order = X.space_words(F.col("t")), ["q", "doc"]
+    for rows in (docs, docs + [(3, "shares its key"), (None, "common")]):
+        d = spark.createDataFrame(rows, "doc long, t string")
+        plain, counts = I.term_counts(d, ["doc"], words, 3), I.hashed_counts(d, ["doc"], words)
+        tfs = lambda c: sorted((str(r.doc), r.tf) for r in c.collect())
+        assert tfs(plain) == tfs(counts)
+        assert len(rows) > len(docs) or "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+        n = d.agg(F.count("*").alias("n"))
+        model = I.fit(plain, n, [], max_df=0.65)
+        known = I.scores(I.weigh(I.term_counts(asked, ["q"], words, 3), model, [], ["q"]), I.weigh(plain, model, [], ["doc"]), [], ["q"], ["doc"]).where("doc is not null")
+        got = I.cosines(I.hashed_counts(asked, ["q"], words), counts, n, 0.65, [], ["q"], ["doc"])
+        both = [sorted((r.q, r.doc, round(r.score, 10)) for r in x.orderBy(*order).collect()) for x in (known, got)]
+        assert both[0] == both[1] and len(both[0]) > 50
