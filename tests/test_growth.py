@@ -1,6 +1,9 @@
 """What shuffles and how often: steps whose cost once grew with terms or pairs, against plain versions."""
 
+import numpy as np
+import pyarrow as pa
 from quillveil.functions import text as X
+from quillveil.operators import linkage as L
 from quillveil.operators import tfidf as I
 from pyspark.sql import functions as F
 
@@ -98,3 +101,19 @@ def test_field_match_scores_distinct_texts(spark, tmp_path):
     known = con.sql(L.ORACLES["field_weighted_match"]).fetchall()
     keyed = lambda rows: sorted((r[0], float(r[2])) for r in rows)
     assert keyed(got.collect()) == keyed(known) and sorted(r.rank for r in got.collect() if r.c_custkey != 3) == sorted(r[1] for r in known if r[0] != 3)
+
+
+def test_tiles_within_a_block_have_each_pair_once(spark):
+    """A task's two blocks are larger than the scores it holds at a time, so that rows shuffle to fewer tasks."""
+    df = spark.createDataFrame([(i, [float(i % 13), 1.0, float(i % 5) - 2]) for i in range(120)], "id long, v array<float>")
+
+    def of(by, a, b, scores, pairs):
+        x, y = np.nonzero(pairs)
+        x, y = a.column("id").to_numpy()[x], b.column("id").to_numpy()[y]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "s": scores[pairs], "cells": np.full(len(x), scores.size)})
+
+    got = L._cosine_blocks(df, "id", "v", [], [], of, "a long, b long, s double, cells long", per=50, tile=7, spread=1).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted((i, j) for j in range(120) for i in range(j))
+    assert max(r.cells for r in got) <= 49
+    v = {r.id: np.array(r.v) for r in df.collect()}
+    assert all(abs(r.s - v[r.a] @ v[r.b] / np.sqrt(v[r.a] @ v[r.a] * (v[r.b] @ v[r.b]))) < 1e-12 for r in got)
