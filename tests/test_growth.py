@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 from quillveil.functions import text as X
+from quillveil.operators import kanon as K
 from quillveil.operators import linkage as L
 from quillveil.operators import tfidf as I
 from pyspark.sql import functions as F
@@ -117,3 +118,19 @@ def test_tiles_within_a_block_have_each_pair_once(spark):
     assert max(r.cells for r in got) <= 49
     v = {r.id: np.array(r.v) for r in df.collect()}
     assert all(abs(r.s - v[r.a] @ v[r.b] / np.sqrt(v[r.a] @ v[r.a] * (v[r.b] @ v[r.b]))) < 1e-12 for r in got)
+
+
+def test_many_choices_of_levels_are_counted_by_hashes(spark):
+    """One pass counts each of many choices on arrays; nulls agree with none, blocks add up."""
+    values = [(i, i % 4 if i % 9 else None, i % 3, i % 2, i % 5) for i in range(60)]
+    people = spark.createDataFrame([(a, b, c, d, 1 + i % 3) for i, a, b, c, d in values], "x int, x_coarse int, y int, y_coarse int, n long")
+    at = spark.createDataFrame([(100 * i + 10 * l + m, l, m, a, b, c, d) for i, a, b, c, d in values for l in range(3) for m in range(3)], "id long, level_x int, level_y int, x int, x_coarse int, y int, y_coarse int")
+    tell = lambda l, exact, coarse: (exact, coarse, "")[l]  # noqa: E741, E731
+
+    def count(r):
+        own = (tell(r.level_x, r.x, r.x_coarse), tell(r.level_y, r.y, r.y_coarse))
+        return 0 if None in own else sum(1 + i % 3 for i, a, b, c, d in values if (tell(r.level_x, a, b), tell(r.level_y, c, d)) == own)
+
+    want = {r.id: count(r) for r in at.collect()}
+    for hashed in (None, K.population_hashes(people, ["x", "y"])):
+        assert {r.id: r.k for r in K.agreeing(at, people, ["x", "y"], ["id"], block=7, hashed=hashed).collect()} == want
