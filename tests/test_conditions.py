@@ -5,6 +5,7 @@ import re
 
 from quillveil.functions import text as X
 from quillveil.plans import conditions as C
+from pyspark.sql import functions as F
 
 _FIELDS = len(C.FIELDS)
 
@@ -62,3 +63,27 @@ def test_some_conditions_and_no_rows(spark):
     two = ("c1_direct", "c6_aggressive")
     assert {r.condition: r.text for r in C.rewritten(df, two).collect()} == {"c1_direct": "2-high of [NAME]", "c6_aggressive": "[ISSUE] of [NAME]"}
     assert C.rewritten(df.limit(0)).count() == 0
+
+
+def test_replace_each_is_replace_ordered_without_patterns(spark):
+    pairs = "array<struct<src:string,dst:string>>"
+    rows = [
+        ("Straße STRASSE ſtraße \u212a k İi ŉ", [("STRASSE", "$1"), ("straße", "\\E"), ("K", "k2"), ("i", "[I]")], [("", "x"), (None, "y"), ("k", "kk")]),
+        ("a.b A.B axb \\Q", [("a.b", "b"), ("b", "B.B"), ("\\q", "")], []),
+        ("aaaa", [("aa", "a"), ("AA", "c"), ("a", "aa")], [("a", None)]),
+        ("", [("a", "b")], [("a", "b")]), (None, [("a", "b")], []), ("ÀÉ àé", [("àé", "ÉÀ"), ("éà", "z")], [("É", "e")]),
+    ]
+    df = spark.createDataFrame(rows, f"text string, a {pairs}, b {pairs}")
+    shout = F.concat("text", F.lit("!A"))
+    got = df.select(X.replace_each([F.col("text"), shout], [(0, F.col("a")), (1, F.col("b")), (1, F.col("a"))]).alias("x"), F.array(X.replace_ordered(F.col("text"), F.col("a")), X.replace_ordered(shout, F.col("b")), X.replace_ordered(shout, F.col("a"))).alias("y"))
+    assert "(?iu)" not in got.select("x")._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r.x == r.y for r in got.collect()), got.collect()
+
+
+def test_a_small_table_of_orders_is_dealt_out(spark, tmp_path):
+    orders = spark.createDataFrame([(k, 1, "1-URGENT", "O") for k in range(40)], "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string")
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    people = spark.createDataFrame([person(1, [0] * _FIELDS)], "pid long, name string, email string, phone string, address string, account string, nation_id string, segment_id string, exact array<string>, coarse array<string>, levels array<int>, tier string")
+    docs = C.rewritten(C.documents(spark, str(tmp_path), people))
+    assert docs.select(F.spark_partition_id()).distinct().count() > 1  # all in one task before
+    assert docs.count() == 40 * 2 * 8
