@@ -134,3 +134,23 @@ def test_many_choices_of_levels_are_counted_by_hashes(spark):
     want = {r.id: count(r) for r in at.collect()}
     for hashed in (None, K.population_hashes(people, ["x", "y"])):
         assert {r.id: r.k for r in K.agreeing(at, people, ["x", "y"], ["id"], block=7, hashed=hashed).collect()} == want
+
+
+def test_set_sums_make_a_pair_once(spark):
+    from itertools import combinations_with_replacement
+
+    from quillveil.operators import patterns as P
+
+    rng = np.random.default_rng(4)
+    sets = {int(k): sorted(rng.choice(40, rng.integers(1, 12), replace=False).tolist()) for k in rng.permutation(60)}
+    sets[99] = [77]  # a term of its own
+    idf = {t: 1 + t / 7 for t in range(80)}
+    rows = [(k, f"t{t}", idf[t]) for k, ts in sets.items() for t in ts]
+    want = {(a, b): sum(idf[t] ** 2 for t in set(sets[a]) & set(sets[b])) for a, b in combinations_with_replacement(sorted(sets), 2) if set(sets[a]) & set(sets[b])}
+    entries = spark.createDataFrame(rows, "s long, term string, idf double")
+    for sizes in ({}, {"per": 20, "tile": 7, "columns": 5}, {"tile": 7, "columns": 3}):
+        found = P.set_sums(entries, "s", **sizes)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # rows for each shared term before
+        got = [((r.a, r.b), r.dot) for r in found.collect()]
+        assert len(got) == len(want) and all(abs(want[p] - d) < 1e-9 for p, d in got)
+    assert P.set_sums(entries.limit(0), "s").count() == 0
