@@ -154,3 +154,27 @@ def test_set_sums_make_a_pair_once(spark):
         got = [((r.a, r.b), r.dot) for r in found.collect()]
         assert len(got) == len(want) and all(abs(want[p] - d) < 1e-9 for p, d in got)
     assert P.set_sums(entries.limit(0), "s").count() == 0
+
+
+def test_softmax_keeps_numbers_for_rows_not_for_terms(spark):
+    from quillveil.operators import features as C
+
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(k, [f"w{rng.integers(0, 30)}" for _ in range(rng.integers(0, 9))]) for k in range(50)], "id long, terms array<string>")
+    counts = I.term_counts(docs, ["id"], F.col("terms"), 2).withColumn("i", F.when(F.col("id") < 40, F.col("id")))
+    held, dense = counts.where("i is not null").collect(), {}
+    for r in held:
+        dense.setdefault(r.term, np.zeros(40))[r.i] = 1 + np.log(r.tf)
+    x = np.stack([v * (np.log(41 / (1 + (v > 0).sum())) + 1) for v in dense.values() if (v > 0).sum() >= 2], 1)
+    some = rng.normal(size=(40, 3))
+    for per in (2_000_000, 20):  # one block, and many
+        blocks = C.term_blocks(counts, "id", 40, per=per)
+        assert (blocks.count() > 1) == (per == 20)
+        assert np.allclose(C.products(blocks.select("i", "t", "w"), some), x @ (x.T @ some))
+    seen = np.eye(3)[rng.integers(0, 3, 40)]
+    shapes = []
+    a, b = C.softmax(lambda v: (shapes.append(v.shape), x @ (x.T @ v))[1], seen, 0.01, 200)
+    p = np.exp(x @ (x.T @ a) + b)
+    p /= p.sum(1, keepdims=True)
+    assert set(shapes) == {(40, 3)} and x.shape[1] != 40
+    assert abs(x.T @ (p - seen) / 40 + 0.01 * x.T @ a).max() < 1e-4 and abs((p - seen).sum(0)).max() < 1e-3
