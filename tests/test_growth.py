@@ -178,3 +178,24 @@ def test_softmax_keeps_numbers_for_rows_not_for_terms(spark):
     p /= p.sum(1, keepdims=True)
     assert set(shapes) == {(40, 3)} and x.shape[1] != 40
     assert abs(x.T @ (p - seen) / 40 + 0.01 * x.T @ a).max() < 1e-4 and abs((p - seen).sum(0)).max() < 1e-3
+
+
+def test_texts_with_nothing_to_hide_are_searched_once(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from quillveil.operators import patterns as P
+    from quillveil.plans import patterns as Q
+
+    texts = ["see a.b@c.test or (123) 555-9999, ACCT-7 Mr. Smith", "plain words of asia", "PERSON_x1 city_2 Org_3 acct-4 email_z phone_5 account_q", "555- @ acct- person_", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "plain words of")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t, c, v in (("nation", "n_name", "FRANCE"), ("region", "r_name", "ASIA"), ("customer", "c_mktsegment", "TOOLS"), ("part", "p_name", "smith")):
+        spark.createDataFrame([(v,)], f"{c} string").write.parquet(f"{tmp_path}/{t}.parquet")
+    for t in ("documents", "benchmark", "nation", "region", "customer", "part"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    read, plain = [], P.phrases_in
+    monkeypatch.setattr(P, "phrases_in", lambda texts, *a, **b: (read.append(texts.count()), plain(texts, *a, **b))[1])
+    got = Q.QUERIES["signature_token_counts"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(Q.ORACLES["signature_token_counts"]).fetchall())
+    assert read == [len(texts) + 1]  # twice each before
