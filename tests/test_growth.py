@@ -199,3 +199,15 @@ def test_texts_with_nothing_to_hide_are_searched_once(spark, tmp_path, monkeypat
     got = Q.QUERIES["signature_token_counts"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(con.sql(Q.ORACLES["signature_token_counts"]).fetchall())
     assert read == [len(texts) + 1]  # twice each before
+
+
+def test_close_pairs_among_marked_rows(spark):
+    docs = spark.createDataFrame([(k, f"a b c{k % 5} d{k % 5} e{k % 2}") for k in range(30)], "doc long, t string")
+    counts = I.hashed_counts(docs, ["doc"], X.space_words(F.col("t")))
+    model = I.fit(counts, docs.agg(F.count("*").alias("n")), [])
+    w = I.weigh(counts, model, [], ["doc"])
+    marks = spark.createDataFrame([(k, m) for k in range(28) for m in (k % 3, 3 + k % 4)], "doc long, mark int")
+    every = {(r.a, r.b): round(r.score, 9) for r in I.close_pairs(w, model, "doc", 0.5).collect()}
+    got = I.close_pairs(w, model, "doc", 0.5, marks)
+    want = {(a, b): s for (a, b), s in every.items() if b < 28 and (a % 3 == b % 3 or a % 4 == b % 4)}
+    assert {(r.a, r.b): round(r.score, 9) for r in got.collect()} == want and 0 < len(want) < len(every)
