@@ -211,3 +211,25 @@ def test_close_pairs_among_marked_rows(spark):
     got = I.close_pairs(w, model, "doc", 0.5, marks)
     want = {(a, b): s for (a, b), s in every.items() if b < 28 and (a % 3 == b % 3 or a % 4 == b % 4)}
     assert {(r.a, r.b): round(r.score, 9) for r in got.collect()} == want and 0 < len(want) < len(every)
+
+
+def test_classifier_deals_runs_as_lists(spark, monkeypatch):
+    from quillveil.operators import features as C
+
+    rows = [(1, 0, "a b a b"), (2, 1, "a b c"), (2, 1, "a c"), (3, 2, "b c a b"), (4, 3, ""), (5, 4, None)]
+    docs = spark.createDataFrame(rows, "id long, i int, t string")
+    words, plain = X.space_words(F.col("t")), {}
+    for r in I.term_counts(docs, ["i"], words, 2).collect():
+        plain.setdefault(r.term, {})[r.i] = 1 + np.log(r.tf)
+    want = sorted((i, round(w * (np.log(8 / (1 + len(own))) + 1), 9)) for own in plain.values() if len(own) >= 2 for i, w in own.items())
+    for blocks in (1, 5):
+        dealt = C.dealt_runs(docs, "id", words, blocks)
+        made = C.fitted_blocks(dealt, 7).collect()
+        assert sorted((i, round(w, 9)) for r in made for i, w in zip(r.i, r.w, strict=True)) == want
+        assert all(len(r.term) == len(r.idf) == len(set(r.t)) for r in made)
+    # test documents in many blocks, some with keys twice or none, are told as in one; no row for each term shuffles
+    texts = [(k, "en" if k % 2 else "fr", f"{'the of' if k % 2 else 'le de'} w{k % 7} w{k % 3}", k < 20) for k in range(40)]
+    some = spark.createDataFrame([*texts, (30, "fr", "le w1", False), (None, "en", "the", False), (50, None, None, False)], "id long, lang string, t string, fit boolean")
+    monkeypatch.setattr(I, "term_counts", None)  # a row for each term before
+    one, many = (sorted(map(str, C.classify(some, "id", words, "lang", "fit", per=per).collect())) for per in (2_000_000, 20))
+    assert one == many and len(one) == 23 and sum("lang='en', predicted='en'" in x for x in one) >= 10
