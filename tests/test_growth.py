@@ -233,3 +233,27 @@ def test_classifier_deals_runs_as_lists(spark, monkeypatch):
     monkeypatch.setattr(I, "term_counts", None)  # a row for each term before
     one, many = (sorted(map(str, C.classify(some, "id", words, "lang", "fit", per=per).collect())) for per in (2_000_000, 20))
     assert one == many and len(one) == 23 and sum("lang='en', predicted='en'" in x for x in one) >= 10
+
+
+def test_top_terms_shuffle_no_strings_of_runs(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from quillveil.plans import text as T
+
+    texts = ["b a b a-b [x] a b", "a b, a B; 𝒳 é z ﬀ ~ ö", "", None, "z " * 9, "a b a b a-b", *(f"w{k % 3} v{k % 5} a u{k}" for k in range(30)), "a b a b a-b"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "a no id")], "doc_id long, text string")
+    tables = {"one": docs, "twice": docs.union(spark.createDataFrame([(1, "a b c c"), (None, "a b")], docs.schema))}
+    con, counted = duckdb.connect(), I.term_counts
+    for name, t in tables.items():
+        t.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        con.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/{name}/documents.parquet/*.parquet'")
+        con.sql("CREATE OR REPLACE VIEW benchmark AS SELECT 1 AS item_id, 'a' AS text")
+        spark.createDataFrame([(1, "a")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        want = sorted(map(str, con.sql(T.ORACLES["tfidf_top_terms"]).fetchall()))
+        # before, a row with a string for each run shuffled
+        monkeypatch.setattr(I, "term_counts", counted if name == "twice" else None)
+        got = T.QUERIES["tfidf_top_terms"](spark, f"{tmp_path}/{name}")
+        assert sorted(str(tuple(r)) for r in got.collect()) == want and len(want) > 100
+    terms = X.tokens(F.col("text"), X.PORTABLE)
+    one, many = (sorted((str(r.doc_id), r.rank, r.term, round(r.w, 9)) for r in I.top_terms(docs, "doc_id", terms, 5, 0.65, per=per).collect()) for per in (2_000_000, 10))
+    assert one == many
