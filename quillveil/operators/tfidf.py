@@ -216,6 +216,52 @@ def hashed_counts(docs: DataFrame, keys: list[str], terms: Column) -> DataFrame:
     return counts.groupBy(*keys, "term").agg(F.sum("tf").alias("tf"))
 
 
+def frequent_runs(docs: DataFrame, text: str, terms: Callable[[Column], Column], least: int, per: int = 2_000_000) -> DataFrame:
+    """(n, term, df): the runs of n tokens, one to three, that ``least`` rows hold.
+
+    Runs are told by 64-bit hashes, counted for some rows at a time and dealt to blocks of about ``per`` as lists, each with the hash of
+    a text that holds it and its place there; only frequent ones become strings, from these texts. A frequent run has the hash
+    of one of N others with a probability of N / 2**64; they would count as one.
+    """
+    texts = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    listed = texts.select("h", terms(F.col("text")).alias("_w"))
+    # three runs a token of four bytes; blocks of shorter tokens are at most twice as large
+    blocks = max(1, -(-3 * int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (4 * per)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, _, term, row, at, n, _ in row_runs(b):
+                if not len(term):
+                    continue
+                _, first, df = np.unique(term, return_index=True, return_counts=True)
+                order = np.argsort(first)  # by row, so that a text's entries stand together
+                first, df = first[order], df[order]
+                starts = np.flatnonzero(np.diff(row, prepend=-1))
+                place = at - np.repeat(np.minimum.reduceat(at, starts), np.diff(np.append(starts, len(row))))
+                yield as_lists(block_of(term[first], blocks), term=term[first], df=df.astype(np.int32), h=b.column(0).take(pa.array(row[first])), at=place[first].astype(np.int32), n=n[first].astype(np.int32))
+
+    def count(t: pa.Table) -> pa.Table:
+        flat = {c: pc.list_flatten(t.column(c)).to_numpy() for c in ("term", "df", "h", "at", "n")}
+        _, first, code = np.unique(flat["term"], return_index=True, return_inverse=True)
+        df = np.bincount(code, flat["df"], len(first)).astype(np.int64)
+        kept = first[df >= least]
+        return pa.table({"h": flat["h"][kept], "at": flat["at"][kept], "n": flat["n"][kept], "df": df[df >= least]})
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                words, own = b.column(0).slice(r, 1).flatten().to_pylist(), b.column(1).slice(r, 1).flatten()
+                at, n, df = (own.field(c) for c in ("at", "n", "df"))
+                names = [" ".join(words[i : i + k]) for i, k in zip(at.to_pylist(), n.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([n, pa.array(names, pa.string()), df], names=["n", "term", "df"])
+
+    dealt = listed.mapInArrow(deal, "_block long, term array<long>, df array<int>, h array<long>, at array<int>, n array<int>")
+    found = dealt.groupBy("_block").applyInArrow(count, "h long, at int, n int, df long")
+    asked = found.groupBy("h").agg(F.collect_list(F.struct("at", "n", "df")).alias("_e"))
+    held = texts.join(asked, "h").dropDuplicates(["h"])  # copies are one text
+    return held.select(terms(F.col("text")).alias("_w"), "_e").mapInArrow(spell, "n int, term string, df long")
+
+
 def cosines(queries: DataFrame, counts: DataFrame, sizes: DataFrame, max_df: float, on: list[str], query_keys: list[str], doc_keys: list[str]) -> DataFrame:
     """Like ``scores`` from both sides' term counts, fitted on the documents as ``fit`` does, in a written table.
 

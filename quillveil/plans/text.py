@@ -85,9 +85,7 @@ g AS (SELECT doc_id, n, array_to_string(w[i:i+n-1], ' ') AS term
       FROM d, (SELECT unnest([1, 2, 3]) AS n) k, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i) t)
 SELECT n, term, count(DISTINCT doc_id) AS df FROM g GROUP BY n, term HAVING count(DISTINCT doc_id) >= 5""")
 def word_ngram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = read(spark, sf_dir, "documents").select(X.tokens(F.col("text"), X.PORTABLE).alias("w"))
-    grams = F.array(*[F.struct(F.lit(n).alias("n"), F.array_distinct(X.word_ngrams(F.col("w"), n)).alias("terms")) for n in (1, 2, 3)])
-    return w.select(F.explode(grams).alias("g")).select("g.n", F.explode("g.terms").alias("term")).groupBy("n", "term").agg(F.count("*").alias("df")).where("df >= 5")
+    return I.frequent_runs(read(spark, sf_dir, "documents"), "text", lambda t: X.tokens(t, X.PORTABLE), 5)
 
 
 @query(r"""

@@ -257,3 +257,21 @@ def test_top_terms_shuffle_no_strings_of_runs(spark, tmp_path, monkeypatch):
     terms = X.tokens(F.col("text"), X.PORTABLE)
     one, many = (sorted((str(r.doc_id), r.rank, r.term, round(r.w, 9)) for r in I.top_terms(docs, "doc_id", terms, 5, 0.65, per=per).collect()) for per in (2_000_000, 10))
     assert one == many
+
+
+def test_frequent_runs_shuffle_no_strings_of_runs(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from quillveil.plans import text as T
+
+    texts = ["b a b a-b [x] a b", "", None, "z " * 9, "é Ü é ü ﬀ", *(f"w{k % 3} v{k % 5} a u{k}" for k in range(30)), *["é ü é ü copy of a text"] * 6]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(map(str, duckdb.sql(T.ORACLES["word_ngram_df"]).fetchall()))
+    monkeypatch.setattr(X, "word_ngrams", None)  # strings of all runs before
+    got = T.QUERIES["word_ngram_df"](spark, str(tmp_path))
+    assert sorted(str(tuple(r)) for r in got.collect()) == want and len(want) > 20
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for per in (5, 1000):  # many blocks, and one
+        found = I.frequent_runs(docs, "text", lambda t: X.tokens(t, X.PORTABLE), 5, per=per)
+        assert sorted(str(tuple(r)) for r in found.collect()) == want
