@@ -275,3 +275,17 @@ def test_frequent_runs_shuffle_no_strings_of_runs(spark, tmp_path, monkeypatch):
     for per in (5, 1000):  # many blocks, and one
         found = I.frequent_runs(docs, "text", lambda t: X.tokens(t, X.PORTABLE), 5, per=per)
         assert sorted(str(tuple(r)) for r in found.collect()) == want
+
+
+def test_copies_are_served_before_many_sets_of_fields(spark, monkeypatch):
+    from quillveil.operators import neighbours as N
+
+    weights = {"region": 1.5} | {f"f{k}": 1.0 for k in range(12)}
+    lots, taken = N.agreement_masks(weights, 2500), []
+    assert sum(len(m) for _, m in lots) == 2**13 and [len(m) <= 16**k for k, (_, m) in enumerate(lots[:3])] == [True] * 3
+    # one lot of 1 set for copies; before it had 2,380
+    monkeypatch.setattr(N, "agreement_masks", lambda *_: (taken.append(len(m)) or (least, m) for least, m in lots))
+    rows = [(k, *[(k % 4 + 1) * f for f in range(13)]) for k in range(44)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} int" for c in weights))
+    got = N.nearest_by_fields(df, "id", weights, 9).collect()
+    assert len(got) == 44 * 9 and all(r.overlap == 13.5 and r.id % 4 == r.cand % 4 for r in got) and taken[0] == 1 and len(taken) == 2
