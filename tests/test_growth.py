@@ -289,3 +289,26 @@ def test_copies_are_served_before_many_sets_of_fields(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} int" for c in weights))
     got = N.nearest_by_fields(df, "id", weights, 9).collect()
     assert len(got) == 44 * 9 and all(r.overlap == 13.5 and r.id % 4 == r.cand % 4 for r in got) and taken[0] == 1 and len(taken) == 2
+
+
+def test_signature_pairs_search_each_text_once(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from quillveil.plans import text as T
+
+    texts = ["A.b@c.test a license", "a.B@c.test (123) 555-9999", "PASSWORD (123) 555-9999", "Copyright, all rights reserved", "none", "", None, "a license", "a license"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(map(str, duckdb.sql(T.ORACLES["signature_similarity_pairs"]).fetchall()))
+    assert sorted(str(tuple(r)) for r in T.QUERIES["signature_similarity_pairs"](spark, str(tmp_path)).collect()) == want and len(want) > 4
+    searched = spark.sparkContext.accumulator(0)
+
+    def tokens(text):
+        searched.add(1)
+        return [text] if text else []
+
+    monkeypatch.setattr(T, "_signature_tokens", lambda: F.udf(tokens, "array<string>")(F.col("text")))
+    for f in (T._signatures, T._signature_weights):
+        before = searched.value
+        f(spark, str(tmp_path)).collect()
+        assert searched.value - before == len(texts)  # twice or three times before
