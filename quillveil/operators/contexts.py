@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .patterns import phrases_in
-from .reports import written
-
 
 def words(text: Column) -> Column:
     """Lower-case words between white space."""
@@ -23,18 +20,16 @@ def recovered_fields(top: DataFrame, fields: DataFrame, texts: DataFrame, entity
     """(entity, field, exact_docs, coarse_docs): in how many of an entity's contexts its fields are told.
 
     ``top`` has (entity, doc), ``fields`` (entity, field, exact, coarse) with arrays of words, ``texts`` (doc, words). An exact
-    value tells the coarse one too; an empty value is told nowhere. All values make one dictionary that is matched
-    in one pass over the contexts; what it finds is then joined, so the work follows hits, not values times texts.
+    value tells the coarse one too; an empty value is told nowhere. An entity's fields go to the texts of its contexts, so the
+    work follows these, and nothing is collected or broadcast.
     """
-    asked = fields.select(entity, "field", *[F.when(F.size(c) > 0, padded(F.col(c))).alias(c) for c in ("exact", "coarse")])
-    used = texts.join(top.select(doc).distinct(), doc, "left_semi").select(doc, padded(F.col("words")).alias("text"))
-    phrases = asked.select(F.explode(F.array("exact", "coarse")).alias("p")).where("p is not null").distinct()
-    hits = written(phrases_in(used, [doc], "text", written(phrases), "p"))
-    pairs = top.select(entity, doc).join(asked, entity)
-    found = lambda c: hits.select(doc, F.col("phrase").alias(c), F.lit(True).alias(f"has_{c}"))
-    both = pairs.join(found("exact"), [doc, "exact"], "left").join(found("coarse"), [doc, "coarse"], "left")
-    exact = F.coalesce("has_exact", F.lit(False))
-    return both.groupBy(entity, "field").agg(F.count_if(exact).alias("exact_docs"), F.count_if(exact | F.coalesce("has_coarse", F.lit(False))).alias("coarse_docs"))
+    value = lambda c: F.when(F.size(c) > 0, padded(F.col(c))).alias(c)
+    asked = fields.groupBy(entity).agg(F.collect_list(F.struct("field", value("exact"), value("coarse"))).alias("_f"))
+    pairs = top.select(entity, doc).join(asked, entity).join(texts.select(doc, padded(F.col("words")).alias("_text")), doc)
+    held = lambda c: F.coalesce(F.contains("_text", c), F.lit(False))
+    told = lambda f: F.struct(f["field"].alias("field"), held(f["exact"]).alias("has_exact"), held(f["coarse"]).alias("has_coarse"))
+    both = pairs.select(entity, F.inline(F.transform("_f", told)))
+    return both.groupBy(entity, "field").agg(F.count_if("has_exact").alias("exact_docs"), F.count_if(F.col("has_exact") | F.col("has_coarse")).alias("coarse_docs"))
 
 
 def field_sets(recovered: DataFrame, entity: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """What shuffles and how often: steps whose cost once grew with terms or pairs, against plain versions."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 from quillveil.functions import text as X
@@ -67,6 +69,38 @@ def test_nearest_needs_no_table_of_pairs(spark):
         assert sorted((r.q, r.rank, r.doc) for r in I.nearest(q, d, "q", "doc", 4, *sizes).collect()) == known
 
 
+def test_contexts_neither_shuffle_terms_nor_collect_values(spark, tmp_path, monkeypatch):
+    import duckdb
+    from pyspark.sql import DataFrame
+
+    from quillveil.plans import contexts as C
+
+    rng = random.Random(5)
+    words = lambda n: " ".join(rng.choice("a b c dd ee f-g [x] common".split()) + str(rng.randrange(4)) for _ in range(n))
+    rows = [(k, t, f"common {words(rng.randrange(22))}" if t else words(rng.randrange(3, 18))) for k in range(40) for t in range(rng.randrange(1, 4))]
+    rows += [(50, 0, "common0"), (51, 1, "no profile"), (52, 0, None), (52, 1, None), (None, 0, "a1 b1"), (None, 1, "a1 b1 common a1 b2")]
+    rows += [(60 + k, t, "same words for all") for k in range(9) for t in (0, 1)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+
+    def refused(*_, **__):
+        raise AssertionError("terms as rows, or values on the driver")
+
+    monkeypatch.setattr(I, "term_counts", refused)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refused)
+    for name in ("context_fields", "context_field_rates", "context_field_sets", "prompt_plan"):
+        got = sorted(map(str, map(tuple, C.QUERIES[name](spark, str(tmp_path)).collect())))
+        assert got == sorted(map(str, duckdb.sql(C.ORACLES[name]).fetchall())) and got
+    convs = C.conversations(spark, str(tmp_path))
+    sides = [convs.select(F.col("conv_id").alias("key"), X.tokens(F.coalesce(c, F.lit("")), X.PORTABLE).alias("_w")) for c in ("body", "profile")]
+    found = []
+    for per, sizes in ((2_000_000, {}), (60, {"doc_entries": 90, "query_entries": 50, "dense": 3, "most": 64})):
+        d, q = I.lists(*sides, 0.9, convs.count(), per)
+        best = I.nearest_lists(q.withColumnRenamed("key", "q"), d.withColumnRenamed("key", "doc"), "q", "doc", 5, **sizes)
+        found.append(sorted((str(r.q), r.rank, str(r.doc)) for r in best.collect()))
+    assert found[0] == found[1] and len(found[0]) > 100
+
+
 def test_cosines_shuffle_counts_once(spark):
     docs = [(k, f"common common word{k % 7} other{k % 3} c{k}") for k in range(30)] + [(30, ""), (31, None), (32, "one")]
     asked = spark.createDataFrame([(k, f"common word{k} other{k} word{k}") for k in range(9)] + [(99, "unseen")], "q long, t string")
