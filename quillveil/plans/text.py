@@ -11,6 +11,7 @@ from ..operators import redaction as R
 from ..operators import reports as A
 from ..operators import tfidf as I
 from ..operators.reports import written
+from ..operators.search import search
 from . import read
 
 QUERIES: dict = {}
@@ -130,6 +131,20 @@ def _scored(spark: SparkSession, sf_dir: str, max_df: float) -> DataFrame:
     return I.cosines(I.hashed_counts(read(spark, sf_dir, "benchmark"), ["item_id"], terms), I.hashed_counts(docs, ["doc_id"], terms), n, max_df, [], ["item_id"], ["doc_id"])
 
 
+def alone(docs: DataFrame, key: str) -> bool:
+    """Whether no two rows share their key; rows that do count as one document and take the former plan."""
+    return docs.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def _found(spark: SparkSession, sf_dir: str, max_df: float, k: int, relevant: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The k best documents for each item, and the ranks of the first relevant ones."""
+    docs, items, terms = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), X.tokens(F.col("text"), X.PORTABLE)
+    if alone(docs, "doc_id"):
+        return search(docs, "doc_id", [terms], items, ["item_id"], terms, max_df, k, relevant)
+    scored = _scored(spark, sf_dir, max_df)
+    return _best(scored, ["item_id"], k), None if relevant is None else I.first_relevant(scored, relevant, ["item_id"], "doc_id")
+
+
 def _best(scored: DataFrame, by: list[str], n: int) -> DataFrame:
     return I.ranked(scored, by, [F.desc(F.round("score", 9)), F.asc("doc_id")]).where(F.col("rank") <= n)
 
@@ -361,14 +376,18 @@ SELECT condition, count(*) AS n_queries, round(avg((first_rank <= 1)::INT), 6) A
 def exposure_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well each passage still finds the documents that held it, by rewriting condition."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    options = F.array(*[F.struct(F.lit(k).alias("condition"), (F.replace("text", F.lit(old), F.lit(new)) if old else F.col("text")).alias("text")) for k, (old, new) in _CONDITIONS.items()])
-    every = docs.select("doc_id", F.explode(options).alias("o")).select("doc_id", "o.condition", "o.text")
-    terms = X.tokens(F.col("text"), X.PORTABLE)
-    counts = I.hashed_counts(every, ["condition", "doc_id"], terms)
-    items = read(spark, sf_dir, "benchmark")
-    asked = I.hashed_counts(items, ["item_id"], terms).crossJoin(F.broadcast(every.select("condition").distinct()))  # three conditions
-    scored = I.cosines(asked, counts, every.groupBy("condition").agg(F.count("*").alias("n")), 0.9, ["condition"], ["item_id"], ["doc_id"])
-    first = I.first_relevant(scored, passages_held(docs, items), ["condition", "item_id"], "doc_id")
+    items, terms = read(spark, sf_dir, "benchmark"), X.tokens(F.col("text"), X.PORTABLE)
+    changed = [F.replace("text", F.lit(old), F.lit(new)) if old else F.col("text") for old, new in _CONDITIONS.values()]
+    if alone(docs, "doc_id"):
+        first = search(docs, "doc_id", [X.tokens(t, X.PORTABLE) for t in changed], items, ["item_id"], terms, 0.9, relevant=passages_held(docs, items))[1]
+        first = first.withColumn("condition", F.get(F.array(*map(F.lit, _CONDITIONS)), F.col("version")))
+    else:
+        options = F.array(*[F.struct(F.lit(k).alias("condition"), t.alias("text")) for k, t in zip(_CONDITIONS, changed, strict=True)])
+        every = docs.select("doc_id", F.explode(options).alias("o")).select("doc_id", "o.condition", "o.text")
+        counts = I.hashed_counts(every, ["condition", "doc_id"], terms)
+        asked = I.hashed_counts(items, ["item_id"], terms).crossJoin(F.broadcast(every.select("condition").distinct()))  # three conditions
+        scored = I.cosines(asked, counts, every.groupBy("condition").agg(F.count("*").alias("n")), 0.9, ["condition"], ["item_id"], ["doc_id"])
+        first = I.first_relevant(scored, passages_held(docs, items), ["condition", "item_id"], "doc_id")
     within = lambda k: F.round(F.avg((F.col("first_rank") <= k).cast("int")), 6)
     return first.groupBy("condition").agg(F.count("*").alias("n_queries"), within(1).alias("hit_at_1"), within(5).alias("hit_at_5"), F.round(F.avg(1 / F.col("first_rank")), 6).alias("mrr"))
 

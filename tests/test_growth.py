@@ -119,6 +119,49 @@ def test_cosines_shuffle_counts_once(spark):
         assert both[0] == both[1] and len(both[0]) > 50
 
 
+def test_search_equals_cosines_in_every_version(spark):
+    from quillveil.operators.search import search
+
+    rng = random.Random(7)
+    docs = [(k, " ".join(rng.choice("the of station path tion x common".split()) + str(rng.randrange(3)) for _ in range(rng.randrange(14)))) for k in range(60)]
+    docs += [(100 + k, "the0 same text") for k in range(6)] + [(200, ""), (201, None), (None, "the0 of1 common2")]
+    d = spark.createDataFrame(docs, "doc long, t string").repartition(3)
+    asked = spark.createDataFrame([(k % 4, f"y{k}", f"the{k} of{k % 3} common{k % 3} station1 the{k}") for k in range(9)] + [(99, "none", "unseen"), (None, None, "the0 same")], "q long, y string, t string")
+    words = lambda c: X.tokens(c, X.PORTABLE)
+    texts = [F.col("t"), F.replace("t", F.lit("tion"), F.lit("[X]")), F.replace("t", F.lit("th"), F.lit("[T]"))]
+    relevant = spark.createDataFrame([(q, k) for q in range(4) for k in rng.sample(range(60), 5)] + [(99, 3), (1, 200)], "q long, doc long")
+    keys, n = ["q", "y"], d.agg(F.count("*").alias("n"))
+    known, first = set(), set()
+    for v, t in enumerate(texts):
+        counts, ask = I.term_counts(d, ["doc"], words(t), 3), I.term_counts(asked, keys, words(F.col("t")), 3)
+        model = I.fit(counts, n, [], max_df=0.65)
+        scored = I.scores(I.weigh(ask, model, [], keys), I.weigh(counts, model, [], ["doc"]), [], keys, ["doc"])
+        best = I.ranked(scored, keys, [F.desc(F.round("score", 9)), F.asc_nulls_last("doc")])
+        known |= {(v, r.q, r.y, r["rank"], r.doc, round(r.score, 9)) for r in best.where("rank <= 4").collect()}
+        first |= {(v, r.q, r.y, r.first_rank, r.total) for r in best.join(relevant, ["q", "doc"]).groupBy(*keys).agg(F.min("rank").alias("first_rank"), F.count("*").alias("total")).collect()}
+    for sizes in ({}, {"per": 50, "most": 60, "query_entries": 40, "cells": 30}):
+        top, got = search(d, "doc", list(map(words, texts)), asked, keys, words(F.col("t")), 0.65, 4, relevant, **sizes)
+        assert {(r.version, r.q, r.y, r["rank"], r.doc, round(r.score, 9)) for r in top.collect()} == known and len(known) > 80
+        assert {(r.version, r.q, r.y, r.first_rank, r.total) for r in got.collect()} == first and len(first) > 20
+
+
+def test_retrieval_keeps_no_table_of_pairs(spark, monkeypatch):
+    import duckdb
+
+    from quillveil.plans import audit, text
+
+    def refused(*_, **__):
+        raise AssertionError("a row for each query and document")
+
+    monkeypatch.setattr(I, "cosines", refused)
+    sf = "/root/testdata/sf0.001"
+    for t in ("documents", "benchmark"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for plans, name in ((text, "exposure_by_condition"), (text, "retrieval_hit_mrr"), (text, "tfidf_topk_benchmark"), (audit, "context_recovery")):
+        got = sorted(map(str, map(tuple, plans.QUERIES[name](spark, sf).collect())))
+        assert got == sorted(map(str, duckdb.sql(plans.ORACLES[name]).fetchall())) and got
+
+
 def test_field_match_scores_distinct_texts(spark, tmp_path):
     import duckdb
 
