@@ -174,9 +174,9 @@ FROM p WHERE total > 0""")
 def retrieval_hit_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     relevant = written(passages_held(docs, items))
-    scored = _scored(spark, sf_dir, 0.9)
-    found = _best(scored, ["item_id"], 10).join(relevant, ["item_id", "doc_id"]).groupBy("item_id").agg(F.count("*").alias("found"))
-    m = I.first_relevant(scored, relevant, ["item_id"], "doc_id").join(found, "item_id", "left").fillna({"found": 0})
+    best, first = _found(spark, sf_dir, 0.9, 10, relevant)
+    found = best.join(relevant, ["item_id", "doc_id"]).groupBy("item_id").agg(F.count("*").alias("found"))
+    m = first.join(found, "item_id", "left").fillna({"found": 0})
     within = lambda k: F.round(F.avg((F.col("first_rank") <= k).cast("int")), 6)
     return m.agg(F.count("*").alias("n_queries"), within(1).alias("hit_at_1"), within(5).alias("hit_at_5"), within(10).alias("hit_at_10"), F.round(F.avg((F.col("found") >= 2).cast("int")), 6).alias("multi_at_10"), F.round(F.avg(F.col("found") / F.col("total")), 6).alias("recall_at_10"), F.round(F.avg(1 / F.col("first_rank")), 6).alias("mrr"))
 
