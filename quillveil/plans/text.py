@@ -161,7 +161,7 @@ def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_tfidf(0.65) + " SELECT item_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM k WHERE rank <= 5")
 def tfidf_topk_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _best(_scored(spark, sf_dir, 0.65), ["item_id"], 5).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return _found(spark, sf_dir, 0.65, 5)[0].select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(_tfidf(0.9) + """,
