@@ -13,8 +13,9 @@ from ..functions import parsing as P
 from ..functions import text as X
 from ..operators import redaction as R
 from ..operators import tfidf as I
+from ..operators.search import search
 from . import read
-from .text import _GRAMS, _TOK, candidates, passages_held
+from .text import _GRAMS, _TOK, alone, candidates, passages_held
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -226,9 +227,12 @@ def context_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     asked = items.select("item_id", words.alias("w")).select("item_id", F.explode(F.array(*[F.struct(F.lit(k).alias("query_type"), F.array_join(F.slice("w", 1, n), " ").alias("text")) for k, n in _TYPES.items()])).alias("x")).select("item_id", "x.*")
     terms = X.tokens(F.col("text"), X.PORTABLE)
-    counts = I.hashed_counts(docs, ["doc_id"], terms)
-    scored = I.cosines(I.hashed_counts(asked, ["query_type", "item_id"], terms), counts, docs.agg(F.count("*").alias("n")), 0.9, [], ["query_type", "item_id"], ["doc_id"])
-    top = I.ranked(scored, ["query_type", "item_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")]).where("rank <= 10")
+    if alone(docs, "doc_id"):
+        top = search(docs, "doc_id", [terms], asked, ["query_type", "item_id"], terms, 0.9, 10)[0]
+    else:
+        counts = I.hashed_counts(docs, ["doc_id"], terms)
+        scored = I.cosines(I.hashed_counts(asked, ["query_type", "item_id"], terms), counts, docs.agg(F.count("*").alias("n")), 0.9, [], ["query_type", "item_id"], ["doc_id"])
+        top = I.ranked(scored, ["query_type", "item_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")]).where("rank <= 10")
     top = top.join(passages_held(docs, items).withColumn("held", F.lit(1)), ["item_id", "doc_id"], "left").fillna({"held": 0})
     t = top.groupBy("query_type", "item_id").agg(F.count("*").alias("n_docs"), F.sum("held").alias("held"), F.min(F.when(F.col("held") == 1, F.col("rank"))).alias("first_rank"))
     some = (F.col("held") > 0).cast("int")
