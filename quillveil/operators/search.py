@@ -155,7 +155,7 @@ def search(docs: DataFrame, key: str, words: list[Column], queries: DataFrame, q
     own: list[str] = []
     if relevant is not None:
         own = [c for c in query_keys if c in relevant.columns]
-        where = chunks.select("_chunk", F.posexplode("keys").alias("_at", key)).join(relevant.select(*own, key).distinct(), key)
+        where = chunks.select("_chunk", F.posexplode("keys").alias("_at", key)).join(relevant.select(*own, key).dropna().distinct(), key)
         ready = ready.join(where.groupBy("_chunk").agg(F.collect_list(F.struct("_at", *own)).alias("_rel")), "_chunk", "left")
     lots = max(1, -(-weighed.count() // query_entries))
     lot = F.pmod(F.xxhash64(*query_keys), F.lit(lots))
@@ -229,19 +229,22 @@ def search(docs: DataFrame, key: str, words: list[Column], queries: DataFrame, q
                             order = np.lexsort((place[x + i], -score, q))
                             x, q, score = x[order], q[order], score[order]
                             top = np.arange(len(q)) - np.searchsorted(q, q) < k
-                            yield listed(v, q[top], key=place[x[top] + i], score=score[top], relevant=np.zeros(top.sum(), bool))
+                            yield listed(v, q[top], key=place[x[top] + i], score=score[top], relevant=np.zeros(top.sum(), np.int64))
                         near = pairs[(pairs[:, 0] >= i) & (pairs[:, 0] < j)]
                         near = near[s[near[:, 0] - i, near[:, 1]] > 0]
-                        if len(near):
-                            yield listed(v, near[:, 1], key=place[near[:, 0]], score=np.round(s[near[:, 0] - i, near[:, 1]], 9), relevant=np.ones(len(near), bool))
+                        if len(near):  # the best one of each query, and their number
+                            score = np.round(s[near[:, 0] - i, near[:, 1]], 9)
+                            order = np.lexsort((place[near[:, 0]], -score, near[:, 1]))
+                            q, first, n = np.unique(near[order, 1], return_index=True, return_counts=True)
+                            yield listed(v, q, key=place[near[order[first], 0]], score=score[order[first]], relevant=n)
 
         schema = "version int, " + "".join(f"{c} {kinds[c]}, " for c in query_keys)
         by = ["version", *query_keys]
-        found = ready.select("keys", "size", "data", "_df", *(["_rel"] if relevant is not None else [])).mapInArrow(find, schema + "key long, score double, relevant boolean")
+        found = ready.select("keys", "size", "data", "_df", *(["_rel"] if relevant is not None else [])).mapInArrow(find, schema + "key long, score double, relevant long")
         if relevant is None:
             return found, None
         found = written(found)
-        best = found.where("relevant").groupBy(*by).agg(F.max(F.struct("score", (-F.col("key")).alias("key"))).alias("b"), F.count("*").alias("total")).select(*by, "b.score", (-F.col("b.key")).alias("key"), "total")
+        best = found.where("relevant > 0").groupBy(*by).agg(F.max(F.struct("score", (-F.col("key")).alias("key"))).alias("b"), F.sum("relevant").alias("total")).select(*by, "b.score", (-F.col("b.key")).alias("key"), "total")
         best = written(best)
         score, doc = np.full((versions, len(numbers)), np.inf), np.zeros((versions, len(numbers)), np.int64)
         for r in best.collect():  # a row for each query of the lot and version at most
@@ -262,7 +265,7 @@ def search(docs: DataFrame, key: str, words: list[Column], queries: DataFrame, q
 
         counts = ready.select("keys", "size", "data", "_df").mapInArrow(above, schema + "n long")
         first = counts.groupBy(*by).agg(F.sum("n").alias("first_rank")).join(best.select(*by, "total"), by)
-        return found.where("not relevant").drop("relevant"), first.select(*by, "first_rank", "total")
+        return found.where("relevant = 0"), first.select(*by, "first_rank", "total")
 
     parts = [passes(p) for p in range(lots)]
     top = reduce(DataFrame.union, [t.drop("relevant") for t, _ in parts])

@@ -129,7 +129,7 @@ def test_search_equals_cosines_in_every_version(spark):
     asked = spark.createDataFrame([(k % 4, f"y{k}", f"the{k} of{k % 3} common{k % 3} station1 the{k}") for k in range(9)] + [(99, "none", "unseen"), (None, None, "the0 same")], "q long, y string, t string")
     words = lambda c: X.tokens(c, X.PORTABLE)
     texts = [F.col("t"), F.replace("t", F.lit("tion"), F.lit("[X]")), F.replace("t", F.lit("th"), F.lit("[T]"))]
-    relevant = spark.createDataFrame([(q, k) for q in range(4) for k in rng.sample(range(60), 5)] + [(99, 3), (1, 200)], "q long, doc long")
+    relevant = spark.createDataFrame([(q, k) for q in range(4) for k in rng.sample(range(60), 5)] + [(99, 3), (1, 200), (None, 3), (None, 7)], "q long, doc long")
     keys, n = ["q", "y"], d.agg(F.count("*").alias("n"))
     known, first = set(), set()
     for v, t in enumerate(texts):
@@ -148,16 +148,16 @@ def test_search_equals_cosines_in_every_version(spark):
 def test_retrieval_keeps_no_table_of_pairs(spark, monkeypatch):
     import duckdb
 
-    from quillveil.plans import audit, text
+    from quillveil.plans import audit, conditions, text
 
     def refused(*_, **__):
         raise AssertionError("a row for each query and document")
 
     monkeypatch.setattr(I, "cosines", refused)
     sf = "/root/testdata/sf0.001"
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "customer", "orders", "nation", "region", "events", "supplier", "lineitem", "part"):
         duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    for plans, name in ((text, "exposure_by_condition"), (text, "retrieval_hit_mrr"), (text, "tfidf_topk_benchmark"), (audit, "context_recovery")):
+    for plans, name in ((text, "exposure_by_condition"), (text, "retrieval_hit_mrr"), (text, "tfidf_topk_benchmark"), (audit, "context_recovery"), (conditions, "label_retrieval")):
         got = sorted(map(str, map(tuple, plans.QUERIES[name](spark, sf).collect())))
         assert got == sorted(map(str, duckdb.sql(plans.ORACLES[name]).fetchall())) and got
 
